@@ -9,11 +9,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that an Arrow batch holds at most, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 512
+#: Bytes after which a batch ends (it holds one row at least).
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -28,7 +31,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         if base is None:
             base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
             atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file:///") else whole
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -40,10 +46,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session, unless it asks for still smaller ones."""
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES in this session, unless it asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -51,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 2_000_000)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > chars:
