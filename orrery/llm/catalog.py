@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe
+from orrery.llm import bpe, tokenfile
 from orrery.llm.common import fixed_table
 
 
@@ -15,8 +15,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(fixed_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = tokenfile.write_token_files(fixed_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_checksums(folder, files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe,)}
+    return {f.__name__: f for f in (op2_bpe, op5_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
