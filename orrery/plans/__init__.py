@@ -1 +1 @@
-
+"""What plans share: written tables."""
