@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, tokenfile
+from orrery.llm import bpe, langid, neardup, packing, secrets, tokenfile, warc
 from orrery.llm.common import fixed_table
 
 
@@ -20,9 +20,42 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_checksums(folder, files)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(fixed_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))[1]
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixed_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, listed = warc.write_archives(fixed_table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(fixed_table(spark, sf_dir, "documents")))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(fixed_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_token_files)}
+    return {f.__name__: f for f in (op2_bpe, op5_token_files, op6_packing, op7_language, op8_warc, op9_secrets, op10_minhash)}
+
+
+OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, max(page_id) AS first FROM h WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT h.page_id, h.payload_bytes, h.payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> h.page_id THEN f.first END AS refers_to
+FROM h LEFT JOIN f USING (payload_digest)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8}

@@ -1,11 +1,7 @@
-"""What the corpus operators share: the shared folder, tables written there, and Arrow batches."""
+"""What the corpus operators share: Arrow batches, files in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,38 +9,14 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.plans.tables import shared_dir, written  # noqa: F401  for the operators here
+
 #: Rows that an Arrow batch holds at most, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 512
 #: Bytes after which a batch ends (it holds one row at least).
 BATCH_BYTES = "8m"
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
-
-    Only where that setting is absent (single-machine tests) a temporary folder of this process is
-    used, and removed when the process ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
-            atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file:///") else whole
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, computed once and written as a table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES in this session, unless it asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
