@@ -7,10 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, langid, neardup, packing, secrets, tokenfile, warc
+from orrery.llm import ann, bpe, covertree, langid, maintext, neardup, packing, secrets, tokenfile, warc
 from orrery.llm.common import fixed_table
 
 
+def op1_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(fixed_table(spark, sf_dir, "embeddings"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(fixed_table(spark, sf_dir, "pages"))
+
+
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.search(fixed_table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(fixed_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -43,7 +55,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_token_files, op6_packing, op7_language, op8_warc, op9_secrets, op10_minhash)}
+    return {f.__name__: f for f in (op1_partitions, op2_bpe, op3_main_text, op4_cover_tree, op5_token_files, op6_packing, op7_language, op8_warc, op9_secrets, op10_minhash)}
 
 
 OP8 = """
@@ -57,5 +69,18 @@ FROM h LEFT JOIN f USING (payload_digest)
 """
 
 
+OP4 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM e q JOIN e r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8}
+    return {"op4_cover_tree": OP4, "op8_warc": OP8}
