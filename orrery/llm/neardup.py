@@ -174,7 +174,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int, miss: fl
     """(src, dst) that span the links within clusters (node, cluster), nodes being doc_ids."""
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node")
+    # By sorting and merging at every size: the members' table grows with the corpus and is never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("merge"), "node")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
