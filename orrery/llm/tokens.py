@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -22,24 +23,66 @@ _WITH_BLANKS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 class LibraryEncoder:
     """ids(texts): of each text its ids as an array of little-endian unsigned 32-bit integers.
 
-    keeps_blanks: slices carry the white space before them; else white space separates only. The cache
-    is emptied when it holds max_cached slices, which bounds memory and changes no result.
+    keeps_blanks: slices carry the white space before them; else white space separates only. When the cache
+    holds max_cached slices, the third that came last is forgotten: frequent words come early. That
+    bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, max_cached: int = 400_000):
+    def __init__(self, path: str, keeps_blanks: bool, max_cached: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.keeps_blanks, self.max_cached, self.cache = keeps_blanks, max_cached, {}
+        # Tokens that start a word (with the mark for a blank), or that end one.
+        vocabulary = self.library.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if keeps_blanks else token.endswith("</w>"))]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, texts: list[str]) -> list[bytes]:
+        """whole() of single words (letters alone, after a blank if blanks are kept), many in one line: a line's ids part at
+        the tokens that start or end words."""
+        out = []
+        lines = [texts[i : i + 256] for i in range(0, len(texts), 256)]
+        glue = "" if self.keeps_blanks else " "
+        for line, found in zip(lines, self.library.encode_batch_fast([glue.join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(line):
+                out += self.whole(line)
+                continue
+            raw = ids.tobytes()
+            cuts = (4 * (at if self.keeps_blanks else at + 1)).tolist()
+            cuts = [*cuts, len(raw)] if self.keeps_blanks else [0, *cuts]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of slices into the cache. A full stop or comma after a letter is a token of its own, so such a slice is
+        put together from its parts."""
+        ended, todo = [], set()
+        for piece in new:
+            if len(piece) > 1 and piece[-1] in ".," and piece[-2] < "\u0250" and piece[-2].lower().isalpha():
+                ended.append(piece)
+                todo.update(x for x in (piece[:-1], piece[-1]) if x not in self.cache)
+            else:
+                todo.add(piece)
+        plain = [x for x in todo if (x[0] == " " and x[1:].isalpha() if self.keeps_blanks else x.isalpha())]
+        rest = list(todo.difference(plain))
+        for i in range(0, len(plain), 50_000):
+            self.cache.update(zip(plain[i : i + 50_000], self.words(plain[i : i + 50_000]), strict=True))
+        for i in range(0, len(rest), 20_000):
+            self.cache.update(zip(rest[i : i + 20_000], self.whole(rest[i : i + 20_000]), strict=True))
+        for piece in ended:
+            self.cache[piece] = self.cache[piece[:-1]] + self.cache[piece[-1]]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.max_cached:
-            self.cache.clear()
+            self.cache = dict(islice(self.cache.items(), self.max_cached * 2 // 3))
         rare = [bool(_RARE.search(t)) for t in texts]
         cut = _WITH_BLANKS.findall if self.keeps_blanks else str.split
         slices = [[] if odd else cut(t) for t, odd in zip(texts, rare, strict=True)]
@@ -47,9 +90,7 @@ class LibraryEncoder:
         found = [list(map(known, own)) for own in slices]
         late = [i for i, own in enumerate(found) if None in own]
         if late:
-            new = list({s for i in late for s, x in zip(slices[i], found[i], strict=True) if x is None})
-            for i in range(0, len(new), 20_000):
-                self.cache.update(zip(new[i : i + 20_000], self.whole(new[i : i + 20_000]), strict=True))
+            self.learn(list({s for i in late for s, x in zip(slices[i], found[i], strict=True) if x is None}))
             for i in late:
                 found[i] = list(map(known, slices[i]))
         out = [b"".join(own) for own in found]
