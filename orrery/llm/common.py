@@ -40,6 +40,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 2_000_000)
         yield batch.slice(start)
 
 
+def shared_files(spark: SparkSession, what: str) -> str:
+    """A new folder for files, made at once, so that it can be read even if nothing is written there."""
+    uri = shared_dir(spark, what)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return uri
+
+
 def put_file(uri: str, name: str, data: bytes) -> str:
     """Writes data as uri/name through the store's own client, under another name first; returns name."""
     store, folder = pafs.FileSystem.from_uri(uri)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from orrery.llm.common import put_file, shared_dir, slices, small_batches
+from orrery.llm.common import put_file, shared_files, slices, small_batches
 from orrery.llm.tokens import library
 
 MAGIC, BLOCK = b"OTF1", 512
@@ -32,7 +32,7 @@ NO_ID = -(2**63)
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 0 needs none."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,9 +65,11 @@ def to_file(doc_ids: list[int | None], ids: list[np.ndarray], percentile: float
     grid = np.full(blocks * BLOCK, flat[-1] if len(flat) else 0, np.uint32)
     grid[: len(flat)] = flat
     grid = grid.reshape(blocks, BLOCK)
+    rank = min(BLOCK - 1, int(BLOCK * percentile / 100))
     least = grid.min(1) if blocks else np.zeros(0, np.uint32)
     rest = grid - least[:, None]
-    width = np.ceil(np.percentile(bit_widths(rest), percentile, axis=1)).astype(np.uint8) if blocks else np.zeros(0, np.uint8)
+    # The least width that so many of a block's values have at most.
+    width = bit_widths(np.partition(rest, rank, axis=1)[:, rank]) if blocks else np.zeros(0, np.uint8)
     upper = rest >> width[:, None]
     row, place = np.nonzero(upper)
     low = rest & ((np.uint64(1) << width[:, None].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
@@ -149,7 +151,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_pe
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = shared_dir(spark, "token-files")
+    folder = shared_files(spark, "token-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

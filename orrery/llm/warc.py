@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import put_file, shared_dir, slices, small_batches
+from orrery.llm.common import put_file, shared_files, slices, small_batches
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000, bytes_per_file: in
     """
     spark = pages.sparkSession
     small_batches(spark)
-    folder = shared_dir(spark, "warc")
+    folder = shared_files(spark, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     whole = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     found = resolve(pages, least_bytes).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
