@@ -34,15 +34,10 @@ def organisation(name: Column) -> Column:
 
 
 def sponsor(name: Column) -> Column:
-    """Lower case; each suffix after a blank or a comma and blank goes from the end, in the list's order."""
+    """Lower case; each suffix after a blank, with a comma before that, goes from the end, in the list's order."""
     out = F.trim(F.lower(name))
     for suffix in SPONSOR_SUFFIXES:
-        n = len(suffix)
-        out = (
-            F.when(out.endswith(f" {suffix}") & ~out.endswith(f", {suffix}"), F.trim(F.left(out, F.char_length(out) - n - 1)))
-            .when(out.endswith(f", {suffix}"), F.rtrim(F.trim(F.left(out, F.char_length(out) - n - 1))))
-            .otherwise(out)
-        )
+        out = F.trim(F.regexp_replace(out, rf",? \Q{suffix}\E$", ""))
     return out
 
 
