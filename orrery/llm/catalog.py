@@ -82,5 +82,49 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank
 """
 
 
+_QUOTED = {kind: pattern.replace("'", "''") for kind, (pattern, _, _) in secrets.KINDS.items()}
+
+
+def _spans(kind: str) -> str:
+    """The kind's spans: the texts between matches and the matches before give each one's place."""
+    _, group, least = secrets.KINDS[kind]
+    p = _QUOTED[kind]
+    return f"""SELECT doc_id, source, {list(secrets.KINDS).index(kind)} AS rank, '{kind}' AS kind, v[i] AS value,
+      CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS parts FROM d WHERE regexp_matches(t, '{p}')))
+    WHERE length(v[i]) >= {least}"""
+
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(_spans(k) for k in secrets.BASE)}),
+free AS (SELECT f.* FROM ({_spans("token")}) f
+  WHERE regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.a < f.a + f.n AND f.a < b.a + b.n)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM free),
+counts AS (SELECT value, count(DISTINCT source) <= 3 AS live FROM every GROUP BY value),
+kept AS (SELECT every.*, live FROM every JOIN counts USING (value) WHERE live OR kind <> 'token'),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) FILTER (kind <> 'token') AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP10 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+r AS (SELECT min(doc_id) AS node, list_sort(s) AS s FROM s GROUP BY list_sort(s)),
+e AS (SELECT node, len(s) AS n, unnest(s) AS x FROM r),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c) UNION SELECT b, a FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+t AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT t.node, l.b FROM t JOIN l ON t.seen = l.a),
+c AS (SELECT node, min(seen) AS component FROM t GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(component, r.node) END AS component_id,
+  s.doc_id = CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(component, r.node) END AS kept
+FROM s JOIN r ON r.s = list_sort(s.s) LEFT JOIN c ON c.node = r.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_cover_tree": OP4, "op8_warc": OP8}
+    return {"op4_cover_tree": OP4, "op8_warc": OP8, "op9_secrets": OP9, "op10_minhash": OP10}
