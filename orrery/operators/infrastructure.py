@@ -94,3 +94,22 @@ def infra_edges(pairs: DataFrame, least: float = 0.3) -> DataFrame:
     has = lambda *kinds: F.arrays_overlap("kinds", F.array(*map(F.lit, kinds)))
     category = F.when(has("analytics", "gtm", "pixel", "adsense"), "analytics").when(has("ip", "hosting", "asn"), "hosting").when(has("san", "ssl_issuer"), "certificate").otherwise("infrastructure")
     return pairs.where(F.col("confidence") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SHARED_INFRA").alias("rel_type"), "confidence", category.alias("category"))
+
+
+# networks' owners and what they sell.
+NETWORKS = {
+    "AS13335": ("Cloudflare", "cdn"), "AS16509": ("Amazon AWS", "hosting"), "AS15169": ("Google Cloud", "hosting"), "AS8075": ("Microsoft Azure", "hosting"), "AS20940": ("Akamai", "cdn"), "AS54113": ("Fastly", "cdn"),
+    "AS14061": ("DigitalOcean", "hosting"), "AS63949": ("Linode/Akamai", "hosting"), "AS20473": ("Vultr", "hosting"), "AS26496": ("GoDaddy", "hosting"), "AS16276": ("OVH", "hosting"), "AS24940": ("Hetzner", "hosting"),
+    "AS397998": ("Vercel", "hosting"), "AS209242": ("Netlify", "hosting"),
+}
+
+
+def network(asn: Column) -> tuple[Column, Column]:
+    """Owner and kind (cdn or hosting) of a network, or null."""
+    return tuple(F.create_map(*[x for k, v in NETWORKS.items() for x in (F.lit(k), F.lit(v[i]))])[asn] for i in (0, 1))
+
+
+def strongest_kind(kinds: Column) -> Column:
+    """The first kind of a weight of three or more, else null."""
+    strong = F.array(*[F.lit(k) for k, w in WEIGHTS.items() if w >= 3])
+    return F.get(F.filter(kinds, lambda k: F.array_contains(strong, k)), 0)

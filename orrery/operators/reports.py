@@ -89,3 +89,44 @@ def to_markdown(rows: DataFrame, title: str) -> DataFrame:
     spark = rows.sparkSession
     head = spark.createDataFrame([(0, f"# {title}"), (1, " | ".join(rows.columns)), (2, " | ".join("---" for _ in rows.columns))], "ord int, line string")
     return head.unionByName(rows.select(F.lit(3).alias("ord"), cells.alias("line")))
+
+
+PRIORITY = ["critical", "high", "medium", "low"]
+
+
+def by_priority(tasks: DataFrame) -> DataFrame:
+    """Tasks from critical to low, the oldest first."""
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("priority"))
+    return tasks.orderBy(rank, "created_at", "id")
+
+
+def entity_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence that nodes refer to (evidence_refs), newest first: id, evidence_id, retrieved_at."""
+    refs = nodes.select("id", F.explode("evidence_refs").alias("evidence_id")).distinct()
+    return refs.join(evidence, "evidence_id").select("id", "evidence_id", "retrieved_at").orderBy(F.desc("retrieved_at"), "evidence_id", "id")
+
+
+def unknowns(entities: DataFrame, flags: list[str]) -> DataFrame:
+    """Entities whose tracing some flag calls incomplete; a null flag says nothing."""
+    hit = None
+    for f in flags:
+        own = F.coalesce(F.col(f), F.lit(False))
+        hit = own if hit is None else hit | own
+    return entities.where(hit)
+
+
+def health_checks(metrics: DataFrame, recall: float = 0.85, fpr: float = 0.05) -> DataFrame:
+    """One row of metrics (recall, fpr, precision, f1, n) as checks: name, value, target, status."""
+    wanted = [("recall", recall, F.col("recall") >= recall), ("fpr", fpr, F.col("fpr") <= fpr), ("precision", 0.8, F.col("precision") >= 0.8), ("f1", 0.8, F.col("f1") >= 0.8), ("sample", 10.0, F.col("n") >= 10)]
+    checks = F.array(*[F.struct(F.lit(k).alias("name"), F.col("n" if k == "sample" else k).cast("double").alias("value"), F.lit(float(t)).alias("target"), F.when(ok, "pass").otherwise("fail").alias("status")) for k, t, ok in wanted])
+    return metrics.select(F.explode(checks).alias("c")).select("c.*")
+
+
+def first_leads(parts: list[tuple[DataFrame, str, float]]) -> DataFrame:
+    """Leads (value) of several kinds and confidences in order: each lower-case value once, from the first part that has it."""
+    every = None
+    for i, (frame, kind, confidence) in enumerate(parts):
+        own = frame.where(F.col("value").isNotNull()).select(F.lower("value").alias("key"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
+        every = own if every is None else every.unionByName(own)
+    best = every.groupBy("key").agg(F.min(F.struct("ord", "kind", "confidence")).alias("x"))
+    return best.select("key", "x.kind", "x.confidence")

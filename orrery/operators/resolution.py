@@ -114,3 +114,34 @@ def trigram_candidates(source: DataFrame, target: DataFrame, least: float = 0.3,
     scored = shared.groupBy("source_id", "target_id", "na", "nb").agg(F.count("*").alias("n")).withColumn("similarity", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
     best = W.partitionBy("source_id").orderBy(F.desc("similarity"), "target_id")
     return scored.where(F.col("similarity") > least).withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("source_id", "target_id", "similarity")
+
+
+def sponsor_confidence(similarity: Column, same_jurisdiction: Column, same_city: Column, same_area: Column) -> Column:
+    """0.3 * similarity, 0.1 for the jurisdiction, 0.05 each for the city and the first three characters of the postal code."""
+    plus = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    return 0.3 * similarity + plus(same_jurisdiction, 0.1) + plus(same_city, 0.05) + plus(same_area, 0.05)
+
+
+def cross_border_candidates(grants: DataFrame, charities: DataFrame) -> DataFrame:
+    """Unresolved grants (recipient_id, country, state) with registered charities (id, bn, country, state) of the same country and,
+    where the grant says it, state."""
+    known = charities.where("bn IS NOT NULL").select(F.col("id").alias("candidate_id"), "country", F.col("state").alias("_state"))
+    return grants.join(known, "country").where(F.col("state").isNull() | (F.col("state") == F.col("_state"))).select("recipient_id", "candidate_id")
+
+
+def unresolved_grants(nodes: DataFrame, edges: DataFrame, country: str) -> DataFrame:
+    """Organisations of a country without a number or resolution that somebody funds: id, name, in order."""
+    open_ = nodes.where((F.col("country") == country) & F.col("bn").isNull() & F.col("resolved_to").isNull())
+    return open_.join(edges.select(F.col("src").alias("id")), "id", "left_semi").select("id", "name").distinct().orderBy("name", "id")
+
+
+def staged(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Number, then normalised name, then best fuzzy name (85 or more), each for what the one before left: source_id, target_id, stage."""
+    a = source.select(F.col("id").alias("source_id"), N.normalise_bn(F.col("bn")).alias("k"))
+    b = target.select(F.col("id").alias("target_id"), N.normalise_bn(F.col("bn")).alias("k"))
+    first = a.join(b, "k").groupBy("source_id").agg(F.min("target_id").alias("target_id")).withColumn("stage", F.lit("bn"))
+    rest = source.join(first.select(F.col("source_id").alias("id")), "id", "left_anti")
+    second = by_exact_name(rest, target, N.registry).groupBy("source_id").agg(F.min("target_id").alias("target_id")).withColumn("stage", F.lit("name"))
+    rest = rest.join(second.select(F.col("source_id").alias("id")), "id", "left_anti")
+    third = by_fuzzy_name(rest, target, 85.0, 1, "token_sort").select("source_id", "target_id", F.lit("fuzzy").alias("stage"))
+    return first.unionByName(second).unionByName(third)

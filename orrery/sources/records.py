@@ -97,3 +97,72 @@ def targeted(rows: DataFrame, columns: list[str], patterns: list[str]) -> DataFr
 
 def _contains_any(value: Column, wanted: Column) -> Column:
     return F.exists(wanted, lambda p: F.contains(F.lower(value), p))
+
+
+# A power-map's relationship categories, and the words of a register's positions, as types of edges.
+CATEGORIES = {1: "EMPLOYED_BY", 3: "EMPLOYED_BY", 5: "FUNDED_BY", 6: "FUNDED_BY", 7: "FUNDED_BY", 10: "OWNS", 11: "OWNS"}
+POSITIONS = [(["director", "board", "trustee", "governor"], "DIRECTOR_OF"), (["owner", "shareholder", "member", "partner"], "OWNS")]
+#: Extensions of an organisation, the first that it has gives its type.
+EXTENSIONS = [
+    (["nonprofit", "philanthropy"], "nonprofit"), (["politicalfundraising", "politicalparty", "governmentbody"], "political_org"), (["business", "publiccompany", "privatecompany", "lobbyingfirm"], "corporation"),
+    (["school", "university"], "unknown"), (["mediaorganization", "newspaper", "industrygroup", "lawfirm"], "corporation"),
+]
+EXECUTIVE = ["ceo", "cfo", "coo", "cto", "cio", "cmo", "cpo", "cso", "chief", "president", "vice president", "vp", "director", "managing director", "executive", "partner", "principal", "founder", "owner", "general manager", "head of", "svp", "evp"]
+BOARD = ["board member", "board director", "board of directors", "chairman", "chairwoman", "chairperson", "chair", "non-executive director", "independent director", "advisory board", "trustee"]
+
+
+def category_type(category: Column, is_board: Column) -> Column:
+    """The edge type of a power-map category; null for those without one."""
+    mapped = F.create_map(*[x for k, v in CATEGORIES.items() for x in (F.lit(k), F.lit(v))])[category]
+    return F.when((category == 1) & F.coalesce(is_board, F.lit(False)), "DIRECTOR_OF").otherwise(mapped)
+
+
+def organisation_type(extensions: Column) -> Column:
+    low, out = F.transform(extensions, F.lower), None
+    for names, kind in EXTENSIONS:
+        hit = F.arrays_overlap(low, F.array(*map(F.lit, names)))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise("unknown")
+
+
+def powermap_edges(relationships: DataFrame, ids: DataFrame, known: DataFrame) -> DataFrame:
+    """Relationships (rel_id, from_id, to_id, category, is_board) with both ends in ids (source_id, id), of a category that has a
+    type, and not known yet (rel_id): rel_id, rel_type, src, dst. Money is turned to run from recipient to funder."""
+    a = ids.select(F.col("source_id").alias("from_id"), F.col("id").alias("a"))
+    b = ids.select(F.col("source_id").alias("to_id"), F.col("id").alias("b"))
+    kind = category_type(F.col("category"), F.col("is_board"))
+    rows = relationships.dropDuplicates(["rel_id"]).withColumn("rel_type", kind).where(F.col("rel_type").isNotNull()).join(a, "from_id").join(b, "to_id").join(known.select("rel_id"), "rel_id", "left_anti")
+    money = F.col("rel_type") == "FUNDED_BY"
+    return rows.select("rel_id", "rel_type", F.when(money, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(money, F.col("a")).otherwise(F.col("b")).alias("dst"))
+
+
+def position_type(position: Column) -> Column:
+    """DIRECTOR_OF, OWNS or EMPLOYED_BY by the words of a position."""
+    out = None
+    for words, kind in POSITIONS:
+        hit = F.coalesce(_contains_any(position, F.array(*map(F.lit, words))), F.lit(False))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise("EMPLOYED_BY")
+
+
+def title_flags(title: Column) -> tuple[Column, Column]:
+    """Whether a title sounds like an executive's, and like a board member's."""
+    return tuple(F.coalesce(_contains_any(title, F.array(*map(F.lit, words))), F.lit(False)) for words in (EXECUTIVE, BOARD))
+
+
+def current_child(children: Column) -> Column:
+    """Of repeated elements (structs with _current) the one marked current, else null."""
+    return F.element_at(F.filter(children, lambda x: x["_current"] == "true"), 1)
+
+
+def source_counts(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many nodes have each external id in their JSON."""
+    return nodes.agg(*[F.count(F.get_json_object("external_ids", f"$.{k}")).alias(k) for k in keys])
+
+
+def target_companies(registry: DataFrame, words: list[str], limit: int) -> DataFrame:
+    """Names from a registry (name, profile, country): profiles that start with 0, and Canadian names with one of the words;
+    each once, in order, as many as the limit."""
+    first = registry.where(F.col("profile").startswith("0")).select("name")
+    second = registry.where((F.col("country") == "CA") & F.coalesce(_contains_any(F.col("name"), F.array(*[F.lit(w.lower()) for w in words])), F.lit(False))).select("name")
+    return first.union(second).distinct().orderBy("name").limit(limit)
