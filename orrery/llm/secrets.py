@@ -98,17 +98,22 @@ def redact(docs: DataFrame, owner: str = "source", most_owners: int = 3, mark: s
     if there is such a column, counted anew. Documents without spans come back as they were."""
     found = scan(docs, owner, most_owners).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").where(F.size("spans") > 0)
     found = found.dropDuplicates(["_id", "_hash"])
-    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumn("_own", own).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    # The rows travel as one column, so that no name among theirs can clash with those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
+    rows = rows.withColumn("_own", F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
 
     def step(acc: Column, x: Column) -> Column:
         start = F.greatest(x["stop"] - F.char_length(x["value"]), acc["at"])
         # What overlaps a span before it lengthens the hidden part only.
-        more = F.when(x["stop"] > acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, start - acc["at"]), F.when((start > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    out = joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when((start > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["stop"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    hit = F.col("spans").isNotNull()
+    joined = joined.withColumn("_text", F.when(hit, clean).otherwise(text))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(hit, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return joined.select(*[out[c].alias(c) for c in docs.columns])
