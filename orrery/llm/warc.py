@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm.common import put_file, shared_files, slices, small_batches
 
+#: Compressed bytes that are unpacked at a time.
+WINDOW = 16_384
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,11 +71,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of an archive."""
-    rest = archive
-    while rest:
-        unpacker = zlib.decompressobj(wbits=31)
-        whole = unpacker.decompress(rest) + unpacker.flush()
-        rest = unpacker.unused_data
+    at, view = 0, memoryview(archive)
+    while at < len(archive):
+        unpacker, parts = zlib.decompressobj(wbits=31), []
+        while not unpacker.eof and at < len(archive):  # in windows: what a member leaves of one is small
+            window = view[at : at + WINDOW]
+            parts.append(unpacker.decompress(window))
+            at += len(window) - len(unpacker.unused_data)
+        whole = b"".join(parts) + unpacker.flush()
         head, _, body = whole.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -82,7 +87,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, body[: int(fields["content-length"])]
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 1000, bytes_per_file: int = 32_000_000, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, least_bytes: int = 1000, bytes_per_file: int = 16_000_000, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
     """Writes a record per page; returns the folder and the list of the archives (name, n_records).
 
     An archive ends when its payloads reach bytes_per_file; that much a task holds. Attempts write under names of their
