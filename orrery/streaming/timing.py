@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """New files of events as they come, as entity_id, ts, event_type."""
     rows = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return rows.select("event_id", F.col("user_id").alias("entity_id"), "ts", "event_type")
+    return rows.select("event_id", F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
 
 
 def overlap_by_window(events: DataFrame, window: str = "24 hours", late: str = "2 hours") -> DataFrame:

@@ -142,8 +142,8 @@ def test_streaming(spark, tmp_path):
     from orrery.streaming import timing as st
 
     rows = [(i, dt.datetime(2024, 1, 1, 0, i), 1 + i % 2, "click", 1.0, "{}") for i in range(12)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    static = spark.read.parquet(str(tmp_path / "in")).select("event_id", F.col("user_id").alias("entity_id"), "ts", "event_type")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    static = spark.read.parquet(str(tmp_path / "in")).select("event_id", F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     for name, frame, mode in (("w", st.overlap_by_window, "complete"), ("d", st.daily_counts, "complete"), ("s", st.sessions, "complete")):
         q = frame(st.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode(mode).format("memory").queryName(name).start()
         q.processAllAvailable()
