@@ -13,7 +13,6 @@ Null text counts as empty; an empty text has no ids.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm.common import slices, small_batches
 
@@ -360,24 +359,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, offsets binary, decoded binary")
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """encode_documents with, per document, only doc_id, n_tokens, ids_sha256, decoded_sha256: the digests are
-    taken where the ids are made, so that neither ids nor bytes leave the Python worker."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for batch in slices(batches, "text"):
-            found = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(ids) for ids in found], pa.int64()),
-                    pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in found], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(ids, bpe.offsets(ids))).hexdigest() for ids in found], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(encoded: DataFrame) -> DataFrame:
+    """Of encode_documents(): doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -59,11 +59,11 @@ def test_bpe_scan_is_associative():
 
 
 def test_bpe_documents(spark, docs, empty):
-    out = {r.doc_id: r for r in bpe.encode_digests(docs, MULTI).collect()}
+    out = {r.doc_id: r for r in bpe.digests(bpe.encode_documents(docs, MULTI)).collect()}
     assert out[4].n_tokens == 0 and out[4].decoded_sha256 == hashlib.sha256(b"").hexdigest() and None in out
     whole = bpe.encode_documents(docs, MULTI).collect()
     assert len(whole) == 10 and all(np.frombuffer(r.offsets, "<u4")[-1] == len(r.decoded) for r in whole)
-    assert bpe.encode_digests(empty, MULTI).count() == 0
+    assert bpe.digests(bpe.encode_documents(empty, MULTI)).count() == 0
 
 
 @pytest.mark.parametrize("path, blanks", [(GPT, True), (WORD, False)])
@@ -209,6 +209,11 @@ def test_secrets_ownership(spark):
     clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert clean[10].text == "mine [SECRET] only" and clean[10].n_chars == 18 and clean[0].text == rows[0][1]
     assert secrets.redact(docs).columns == docs.columns
+    names = ("spans", "_own", "_hash", "row", "label", "kept", "keys", "score", "owner", "live")
+    clash = docs.selectExpr("*", *(f"'x' as {n}" for n in names))
+    for out in (secrets.redact(clash), neardup.drop_duplicates(clash), langid.keep_identified(clash, langid.CrossParser({"en": ["see there mine only"]}))):
+        assert out.columns == clash.columns and all(r[n] == "x" for r in out.collect() for n in names)
+    assert {r.text for r in secrets.redact(clash).where("doc_id = 10").collect()} == {"mine [SECRET] only"}
 
 
 def brute_components(rows):
