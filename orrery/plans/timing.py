@@ -9,6 +9,7 @@ from orrery.operators import timing as T
 from orrery.plans import domain as D
 from orrery.plans.domain import EVENTS
 
+#: The entities of the comparisons with SQL; the queries *_all and those without SQL take every entity.
 FEW = "entity_id <= 6"
 
 
@@ -47,9 +48,14 @@ def hourly_lag_corr(spark, sf_dir):
     return T.lag_correlations(events(spark, sf_dir).where(FEW)).withColumn("corr", F.round("corr", 6) + 0.0)
 
 
+@query("hourly_lag_corr_all")
+def hourly_lag_corr_all(spark, sf_dir):
+    return T.lag_correlations(events(spark, sf_dir))
+
+
 @query("lead_lag_significance")
 def lead_lag_significance(spark, sf_dir):
-    return T.lead_lag(events(spark, sf_dir).where(FEW), rounds=200)
+    return T.lead_lag(events(spark, sf_dir))
 
 
 JS = EVENTS + """, t AS (SELECT entity_id, count(*) AS total FROM ev GROUP BY ALL HAVING count(*) >= 5), g AS (SELECT entity_id, total, h FROM t, (SELECT unnest(range(24)) AS h)),
@@ -63,6 +69,11 @@ def sync_js_pairs(spark, sf_dir):
     return T.js_divergences(events(spark, sf_dir).where("entity_id <= 20")).withColumn("js", F.round("js", 6))
 
 
+@query("sync_js_pairs_all", f"WITH {JS} SELECT a, b, round(js, 6) AS js FROM js")
+def sync_js_pairs_all(spark, sf_dir):
+    return T.js_divergences(events(spark, sf_dir)).withColumn("js", F.round("js", 6))
+
+
 @query("sync_js", f"""WITH {JS} SELECT n AS n_entities, round(m, 6) AS mean_js, round(greatest(0, 1 - m / ln(2)), 6) AS sync, round(least(1.0, s / (n * 50.0)), 6) AS confidence
 FROM (SELECT count(*) AS n, sum(total) AS s FROM t), (SELECT avg(js) AS m FROM js)""")
 def sync_js(spark, sf_dir):
@@ -76,9 +87,15 @@ def overlap_ratio(spark, sf_dir):
     return T.overlap_ratio(events(spark, sf_dir).where(FEW), 6).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
+@query("overlap_ratio_all", f"""WITH {EVENTS}, b AS (SELECT epoch_us(ts) // 21600000000 AS bin, count(DISTINCT entity_id) AS n FROM ev GROUP BY ALL)
+SELECT round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, count(*) AS n_bins FROM b""")
+def overlap_ratio_all(spark, sf_dir):
+    return T.overlap_ratio(events(spark, sf_dir), 6).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
 @query("coordination_score")
 def coordination_score(spark, sf_dir):
-    return T.coordination(events(spark, sf_dir).where(FEW), rate_mode="kleinberg")
+    return T.coordination(events(spark, sf_dir), rate_mode="kleinberg")
 
 
 NEWS = "news AS (SELECT DISTINCT epoch_us(ts) - 1800000000 AS a, epoch_us(ts) + 1800000000 AS b FROM ev WHERE event_type = 'error' AND k >= 95)"
