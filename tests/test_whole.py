@@ -46,3 +46,17 @@ def test_lead_lag_of_all_entities(spark, sf, series):
 def test_coordination_of_all_entities(spark, sf, series):
     row = run("coordination_score", spark, sf).first()
     assert (row.n_events, row.n_actors) == (sum(x.sum() for x in series.values()), len(series))
+
+
+def test_leads_of_all_events(spark, sf):
+    events = D.table(spark, sf, "events").count()
+    assert run("lead_skip_all", spark, sf).agg(F.sum("n")).first()[0] == events
+    assert run("queue_stats_all", spark, sf).where("priority IS NULL").agg(F.sum("n")).first()[0] == events
+    assert run("lead_dequeue_all", spark, sf).where("lead_id % 7 <> 0").count() > 0
+    assert run("lead_enqueue_all", spark, sf).where("lead_id % 7 <> 1").count() == 0
+
+
+def test_records_of_all_rows(spark, sf):
+    assert run("source_health_all", spark, sf).count() == D.table(spark, sf, "events").select("user_id").distinct().count()
+    assert run("entity_evidence_all", spark, sf).select("id").distinct().count() == D.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
+    assert run("cross_border_candidates_all", spark, sf).agg(F.max("recipient_id")).first()[0] > 100
