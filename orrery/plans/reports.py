@@ -93,6 +93,12 @@ def neutral_language(spark, sf_dir):
     return rows.select("conv_id", "turn", T.neutral(F.concat(F.lit(LOADED), F.substring("text", 1, 80))).alias("neutral"))
 
 
+@query("neutral_language_all", f"SELECT conv_id, turn, {neutral_sql(chr(39) + LOADED + chr(39) + ' || text')} AS neutral FROM conversations")
+def neutral_language_all(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", T.neutral(F.concat(F.lit(LOADED), "text")).alias("neutral"))
+
+
 @query("text_kinds", """WITH h AS (SELECT lower(substr(text, 1, 500)) AS h, length(trim(text, ' ')) AS n FROM conversations)
 SELECT CASE WHEN contains(h, 'linkedin') THEN 'linkedin' WHEN starts_with(h, 'from:') OR contains(substr(h, 1, 200), 'subject:') THEN 'email' WHEN contains(h, 'reuters') OR contains(h, 'associated press') OR contains(h, 'ap news') THEN 'news'
   WHEN contains(h, 'for immediate release') THEN 'press_release' ELSE 'unknown' END AS kind, n >= 10 AND n <= 100000 AS valid, count(*) AS n FROM h GROUP BY ALL""")

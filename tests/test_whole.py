@@ -60,3 +60,12 @@ def test_records_of_all_rows(spark, sf):
     assert run("source_health_all", spark, sf).count() == D.table(spark, sf, "events").select("user_id").distinct().count()
     assert run("entity_evidence_all", spark, sf).select("id").distinct().count() == D.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
     assert run("cross_border_candidates_all", spark, sf).agg(F.max("recipient_id")).first()[0] > 100
+
+
+def test_neutral_language_of_whole_texts(spark, sf, tmp_path):
+    text = "x" * 100 + " a secret scheme " + "y" * 2000
+    spark.createDataFrame([(1, 0, text)], "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = run("neutral_language_all", spark, str(tmp_path)).first().neutral
+    assert out.endswith("x" * 100 + " a undisclosed arrangement " + "y" * 2000)
+    rows = D.table(spark, sf, "conversations").where("length(text) > 80").join(run("neutral_language_all", spark, sf), ["conv_id", "turn"])
+    assert rows.where("right(text, 10) <> right(neutral, 10)").count() == 0
