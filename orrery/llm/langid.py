@@ -25,6 +25,8 @@ SEGMENT = 256
 #: Text that has no letters, or none at all.
 UNKNOWN = "und"
 PAD, BLANK = 0, 1
+#: So many of the most frequent letters have a column of the table; transitions on the others are listed.
+DENSE = 200
 
 
 @lru_cache(1)
@@ -81,24 +83,52 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def transitions(moves: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, code and next state of each transition."""
+    states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+    codes = np.fromiter((c for m in moves for c in m), np.int64, len(states))
+    return states, codes, np.fromiter((q for m in moves for q in m.values()), np.int64, len(states))
+
+
 def parser(moves: list[dict[int, int]], symbols: int) -> np.ndarray:
-    """The automaton as one table: at (state * symbols + code), twice the next state's row, plus 1 if a phrase starts there."""
+    """The automaton as one table: at (state * symbols + code), twice the next state's row, plus 1 if a phrase starts there.
+    Codes from symbols - 1 on are left out; that column is a code without transitions."""
     table = np.zeros((len(moves), symbols), np.int32)
     start = np.zeros(symbols, np.int32)
     for c, q in moves[0].items():
-        start[c] = q
+        if c < symbols - 1:
+            start[c] = q
     table[:] = start * symbols * 2 + 1  # no transition: a new phrase, with this code as its first
-    states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-    codes = np.fromiter((c for m in moves for c in m), np.int64, len(states))
-    nexts = np.fromiter((q for m in moves for q in m.values()), np.int64, len(states))
-    table[states, codes] = nexts * symbols * 2
+    states, codes, nexts = transitions(moves)
+    near = codes < symbols - 1
+    table[states[near], codes[near]] = nexts[near] * symbols * 2
     table[0] = start * symbols * 2 + 1  # from the start every code starts a phrase
     table[:, PAD] = np.arange(len(moves)) * symbols * 2  # beyond a segment's end nothing happens
     return table.ravel()
 
 
+class Rare:
+    """The transitions on codes above the dense ones, as sorted keys (state * symbols + code)."""
+
+    def __init__(self, moves: list[dict[int, int]], dense: int, symbols: int):
+        states, codes, nexts = transitions(moves)
+        far = codes > dense
+        self.start = np.zeros(symbols, np.int64)
+        self.start[codes[far & (states == 0)]] = nexts[far & (states == 0)]
+        own = np.flatnonzero(far & (states > 0))  # from the start every code starts a phrase
+        keys = states[own] * symbols + codes[own]
+        order = np.argsort(keys)
+        self.keys, self.nexts, self.symbols = np.append(keys[order], -1), np.append(nexts[own][order], 0), symbols
+
+    def moves(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Twice the next state, plus 1 if a phrase starts there."""
+        key = state.astype(np.int64) * self.symbols + code
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.nexts[at] * 2, self.start[code] * 2 + 1)
+
+
 class CrossParser:
-    """alphabet: code points known; every other one has the last code, which no automaton knows."""
+    """alphabet: all code points of the samples, with codes by frequency; every other one has the last code, which no automaton knows."""
 
     def __init__(self, samples: dict[str, list[str]], letters: int = 30_000):
         """samples: labelled texts of each language, of which the first `letters` folded letters are learned."""
@@ -111,23 +141,26 @@ class CrossParser:
                     break
             learned[lang] = np.concatenate([*parts, np.zeros(0, np.uint32)])
         points, counts = np.unique(np.concatenate([*learned.values(), np.array([32], np.uint32)]), return_counts=True)
-        self.alphabet = np.sort(points[np.argsort(-counts, kind="stable")[:200]])
-        self.symbols = len(self.alphabet) + 2
+        self.alphabet, self.rank = points, np.empty(len(points), np.int64)
+        self.rank[np.argsort(-counts, kind="stable")] = np.arange(1, len(points) + 1)
+        self.symbols, self.dense = len(points) + 2, min(len(points), DENSE)
         self.langs = [lang for lang, x in learned.items() if len(x) > 1]
         self.moves = [automaton(self.codes(learned[lang]).tolist()) for lang in self.langs]
         self.tables: list[np.ndarray] = []
+        self.rare: list[Rare] = []
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": []}  # the tables are made where they are used
+        return self.__dict__ | {"tables": [], "rare": []}  # the tables are made where they are used
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == points, at + 1, self.symbols - 1).astype(np.int32)
+        return np.where(self.alphabet[at] == points, self.rank[at], self.symbols - 1).astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each folded text (rows) by each language (columns)."""
         if not self.tables:
-            self.tables = [parser(m, self.symbols) for m in self.moves]
+            self.tables = [parser(m, self.dense + 2) for m in self.moves]
+            self.rare = [Rare(m, self.dense, self.symbols) for m in self.moves]
         lengths = np.array([len(t) for t in texts], np.int64)
         pieces = -(-lengths // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -140,6 +173,10 @@ class CrossParser:
         grid[np.arange(SEGMENT) < filled[:, None]] = self.codes(np.concatenate(texts))
         order = np.argsort(-filled, kind="stable")
         grid = np.ascontiguousarray(grid[order].T)
+        width = self.dense + 2
+        far = [np.flatnonzero((row > self.dense) & (row < self.symbols - 1)) for row in grid] if self.symbols > width else []
+        whole = grid
+        grid = np.minimum(grid, self.dense + 1)
         active = np.searchsorted(-filled[order], -np.arange(SEGMENT), "left")  # segments longer than each place
         for k, table in enumerate(self.tables):
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
@@ -147,6 +184,9 @@ class CrossParser:
                 if not (n := active[j]):
                     break
                 move = table[state[:n] + grid[j, :n]]
+                if far and far[j].size:
+                    found = self.rare[k].moves(state[far[j]] // width, whole[j, far[j]])
+                    move[far[j]] = (found >> 1) * width * 2 + (found & 1)
                 count[:n] += move & 1
                 state[:n] = move >> 1
             out[:, k] = np.bincount(owner[order], count, len(texts))
