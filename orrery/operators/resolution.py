@@ -1,6 +1,7 @@
 """Entity resolution: exact, fuzzy and vector matches in a cascade, boosts, routing.
 
-Candidates come from equi-joins on blocking keys, never from all pairs. Whatever an earlier stage matched is kept from
+Candidates come from equi-joins on blocking keys; only fuzzy names, which have no key that loses nothing, are compared with
+each other. Whatever an earlier stage matched is kept from
 later ones by anti-joins.
 """
 
@@ -32,23 +33,33 @@ def by_exact_name(source: DataFrame, target: DataFrame, normal=N.organisation) -
     return a.join(b, "key").where("source_id <> target_id").select("source_id", "target_id", "key")
 
 
-def blocks(rows: DataFrame, id_name: str) -> DataFrame:
-    """(id, name, block): a row for each word of four letters or more of the normalised name."""
-    plain = rows.select(F.col("id").alias(id_name), N.organisation(F.col("name")).alias(f"{id_name}_name"))
-    words = F.array_distinct(F.filter(F.split(f"{id_name}_name", " "), lambda w: F.length(w) >= 4))
-    return plain.select("*", F.explode(words).alias("block"))
+def named(rows: DataFrame, id_name: str) -> DataFrame:
+    """(id, name): rows with their normalised name, if it is not empty."""
+    return rows.select(F.col("id").alias(id_name), N.organisation(F.col("name")).alias(f"{id_name}_name")).where(F.length(f"{id_name}_name") > 0)
+
+
+def can_reach(score: str, cutoff: float) -> Column:
+    """Whether names of such lengths can score the cutoff at all: a common subsequence is no longer than the shorter name.
+    Partial and token scores have no such bound, except that weighted gives at most 60 where one name is 8 times as long."""
+    short, long = F.least(F.length("a_name"), F.length("b_name")), F.greatest(F.length("a_name"), F.length("b_name"))
+    if score in ("ratio", "token_sort"):
+        return 200 * short >= cutoff * (short + long) - 1e-6
+    return (long < 8 * short) if score == "weighted" and cutoff > 60 else F.lit(True)
 
 
 def by_fuzzy_name(source: DataFrame, target: DataFrame, cutoff: float = 85.0, top: int = 10, score: str = "weighted") -> DataFrame:
-    """source_id, target_id, score of names that share a word and score at least cutoff; the best `top` of each source.
+    """source_id, target_id, score of names that score at least cutoff; the best `top` of each source.
 
-    The names are compared after normalising, each different pair of names once.
+    The names are compared after normalising, each different name of the source with each of the target that can reach the
+    cutoff by its length: work grows with their product.
     """
-    pairs = blocks(source, "a").join(blocks(target, "b"), "block").where("a <> b").select("a", "b", "a_name", "b_name").distinct()
-    texts = pairs.select("a_name", "b_name").distinct()
+    a, b = named(source, "a"), named(target, "b")
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = a.select("a_name").distinct().repartition(parts, "a_name").crossJoin(b.select("b_name").distinct()).where(can_reach(score, cutoff))
     scored = texts.withColumn("score", scorer(score)(F.col("a_name"), F.col("b_name"))).where(F.col("score") >= cutoff)
+    pairs = a.join(scored, "a_name").join(b, "b_name").where("a <> b")
     best = W.partitionBy("a").orderBy(F.desc("score"), "b")
-    return pairs.join(scored, ["a_name", "b_name"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "score")
+    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "score")
 
 
 def fuzzy_confidence(score: Column, same_country: Column, same_city: Column, same_state: Column, postal: Column) -> Column:
