@@ -56,8 +56,8 @@ def fillings(counts: np.ndarray, lengths: np.ndarray, space: int, most: int) ->
     """Undominated ways to fill the space beside a sequence's longest piece, of up to three pieces and then
     greedily on, least waste first; at most `most` of them.
 
-    Of single pieces only the longest that fits is undominated; of pairs and triples, those that no
-    other of as many pieces exceeds piece by piece: for each first piece the largest partner that fits.
+    The longest single piece; for each first piece the largest partner that fits; for each first piece one
+    triple of least waste, until `most` fillings waste nothing. Others are not tried, so the search is not exhaustive.
     """
     have = lengths[(counts[lengths] > 0) & (lengths <= space)]
     if not have.size:
@@ -83,16 +83,17 @@ def fillings(counts: np.ndarray, lengths: np.ndarray, space: int, most: int) ->
         found[tuple(sorted(((x, n) for x, n in need.items() if n), reverse=True))] = left
 
     add((int(have[-1]),))
-    firsts = have[::-1][:: max(1, len(have) // 64)]
-    partner = have[np.searchsorted(have, space - firsts, "right") - 1]
-    fits = firsts + partner <= space
-    pairs = sorted({(int(max(a, b)), int(min(a, b))) for a, b in zip(firsts[fits], partner[fits], strict=True)}, key=lambda p: space - sum(p))
-    for p in pairs[:most]:
-        add(p)
-    for a in firsts[:: max(1, len(firsts) // 8)].tolist():
+    firsts = have[::-1]
+    at = np.searchsorted(have, space - firsts, "right") - 1
+    at -= (at >= 0) & (have[at] == firsts) & (counts[firsts] < 2)  # a single piece is no partner of itself
+    fits = at >= 0
+    first, partner = firsts[fits], have[at[fits]]
+    for k in np.argsort(space - first - partner, kind="stable")[: 2 * most].tolist():  # a pair comes at most twice
+        add((int(max(first[k], partner[k])), int(min(first[k], partner[k]))))
+    for a in firsts.tolist():
+        if sum(left == 0 for left in found.values()) >= most:
+            break  # nothing leaves less
         seconds = have[have <= space - a]
-        if not seconds.size:
-            continue
         at = np.searchsorted(have, space - a - seconds, "right") - 1
         ok = at >= 0
         waste = space - a - seconds[ok] - have[at[ok]]
@@ -108,7 +109,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, bra
     Sequences are completed one after another around the longest piece left; equal ones together, as
     often as the pieces last. Best fit gives the first incumbent. A branch is left when the space it has
     wasted so far allows no packing better than the incumbent, and the search ends when the incumbent
-    meets the lower bound (total length / capacity, rounded up), which proves it optimal, or after so many nodes.
+    meets the lower bound (total length / capacity, rounded up), which proves it optimal, or after so many nodes;
+    a node has at most `branches` fillings. If it ends without the bound, fewer sequences may be possible.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
