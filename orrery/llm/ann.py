@@ -3,8 +3,8 @@
 On a bounded sample: a neighbour graph, its balanced partitioning by recursive spectral bisection with swaps, and a small
 network that learns from a vector the partitions of its neighbours. The network then puts every
 row of the table into its most probable partition and routes each query to several, whose rows are
-compared exactly, in double precision. How many partitions a query needs is measured on the sample
-for the wanted recall.
+compared exactly, in double precision. How many partitions a query needs for the wanted recall is
+measured on rows that the network has not learned, unless it could learn all that there are.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm.common import small_batches, written
-from orrery.llm.vectors import answer, ready, search_blocks, usable
+from orrery.llm.vectors import Index, Kernel, answer, matrix_of, ready, search_blocks, usable
 
 #: Rows of a block of a partition, on average: larger partitions are cut into blocks.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 
 
 def neighbours(unit: np.ndarray, k: int) -> np.ndarray:
@@ -76,7 +77,8 @@ def partition(graph: np.ndarray, parts: int) -> np.ndarray:
 class Router:
     """One hidden layer, trained by Adam on cross entropy with the parts of a row's neighbours as soft labels."""
 
-    def __init__(self, unit: np.ndarray, graph: np.ndarray, parts: int, hidden: int = 64, epochs: int = 25):
+    def __init__(self, unit: np.ndarray, graph: np.ndarray, parts: int, hidden: int = 512, steps: int = 480):
+        epochs = max(15, -(-steps * 256 // len(unit)))
         own = partition(graph, parts)
         target = np.zeros((len(unit), parts))
         np.add.at(target, (np.repeat(np.arange(len(unit)), graph.shape[1] + 1), own[np.column_stack((np.arange(len(unit)), graph))].ravel()), 1 / (graph.shape[1] + 1))
@@ -110,72 +112,113 @@ def normed(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def fit(known: DataFrame, rows: int, sample: int = 8192, recall: float = 0.97, top: int = 5, rows_per_part: int = 2048) -> tuple[Router | None, int, int]:
-    """(router, parts, probes) from at most `sample` different vectors, drawn by their hash; none for tables too small to divide.
+class Routes:
+    """A router for each length of vectors that the sample has enough of; vectors of other lengths have one part."""
 
-    parts grows with the table up to sample / 32. probes is the least number with which the sample's
-    own rows find the wanted share of their nearest others.
+    def __init__(self):
+        self.of: dict[int, tuple[Router, int, int]] = {}  # length -> router, parts, probes
+
+    def parts(self, vectors: pa.ListArray, many: bool) -> list[list[int]]:
+        """Of each vector the parts that it is sought in (many), or that it belongs to."""
+        lengths = pc.list_value_length(vectors).to_numpy()
+        out: list[list[int]] = [[0]] * len(vectors)
+        for n in set(lengths.tolist()).intersection(self.of):
+            router, _, probes = self.of[n]
+            own = np.flatnonzero(lengths == n)
+            order = router.order(normed(matrix_of(vectors.take(pa.array(own)))))
+            for i, row in zip(own.tolist(), order[:, : probes if many else 1].tolist(), strict=True):
+                out[i] = row
+        return out
+
+
+def fit(known: DataFrame, rows: int, sample: int = 8192, recall: float = 0.95, top: int = 5, rows_per_part: int = 4096) -> Routes:
+    """Routers from at most `sample` different vectors, drawn by their hash.
+
+    parts is a power of two: about 32 where the sample has 32 rows for each, more as the table grows by rows_per_part,
+    at most sample / 32. A length of which fewer than 64 vectors were drawn has one part, which is all there is to learn.
+
+    probes is the least number of parts in which the wanted share of nearest others is found. If the sample is the whole
+    table, its rows are what will be asked and the share is theirs; if not, the router learns
+    three quarters of it, and the share is that of the last quarter, which it has not seen.
     """
-    drawn = known.select("k1", "k2", "vector").orderBy("k1", "k2").limit(sample).collect()
-    parts = 1
-    while parts * rows_per_part < rows and parts * 64 <= len(drawn):
-        parts *= 2
-    if parts == 1:
-        return None, 1, 1
-    unit = normed(np.array([r["vector"] for r in drawn]))
-    graph = neighbours(unit, 10)
-    router = Router(unit, graph, parts)
-    ranks = np.argsort(router.order(unit), axis=1)  # of each part for each row
-    homes = ranks.argmin(1)
-    needed = np.take_along_axis(ranks, homes[graph[:, :top]], 1).ravel() + 1
-    return router, parts, int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
-
-
-def nearest(queries: np.ndarray, rows: np.ndarray, least: np.ndarray, keep: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Exact: each query's best rows by cosine, ties to the smaller id."""
-    scores = (queries @ rows.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
-    out = []
-    for row in scores:
-        some = np.flatnonzero(row >= np.partition(row, -keep)[-keep]) if len(row) > keep else np.arange(len(row))
-        some = some[np.lexsort((least[some], -row[some]))][:keep]
-        out.append((some, row[some]))
+    drawn = known.select("k1", "vector").orderBy("k1").limit(sample).collect()
+    out = Routes()
+    lengths = np.array([len(r["vector"]) for r in drawn], np.int64)
+    for n in np.unique(lengths).tolist():
+        unit = normed(np.array([r["vector"] for r in drawn if len(r["vector"]) == n]))
+        learned = len(unit) if len(drawn) == rows else len(unit) * 3 // 4
+        parts = 1
+        while parts * 64 <= learned and parts * 2 <= max(32, rows // rows_per_part):
+            parts *= 2
+        if parts == 1:
+            continue
+        own, new = unit[:learned], unit[learned:]
+        graph = neighbours(own, 10)
+        router = Router(own, graph, parts)
+        homes = router.order(own)[:, 0]
+        near, asked = (graph[:, :top], own) if learned == len(unit) else (nearest_places(new, own, top), new)
+        ranks = np.argsort(router.order(asked), axis=1)  # of each part for each row
+        needed = np.sort(np.take_along_axis(ranks, homes[near], 1).ravel() + 1)
+        out.of[n] = router, parts, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
     return out
 
 
-def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 5, every: int = 50, sample: int = 8192, recall: float = 0.97) -> DataFrame:
+def nearest_places(unit: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([np.argpartition(-(unit[i : i + 1024] @ rows.T), k - 1, axis=1)[:, :k] for i in range(0, len(unit), 1024)])
+
+
+def exact(keep: int) -> Kernel:
+    """Each query's best rows by cosine, ties to the smaller id."""
+
+    def prepare(rows: np.ndarray, least: np.ndarray) -> Index:
+        lengths = np.linalg.norm(rows, axis=1)
+
+        def search(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            scores = (queries @ rows.T) / (np.linalg.norm(queries, axis=1)[:, None] * lengths)
+            low = np.partition(scores, -keep, axis=1)[:, [-keep]] if len(rows) > keep else -np.inf
+            who, place = np.nonzero(scores >= low)
+            value = scores[who, place]
+            order = np.lexsort((least[place], -value, who))
+            who, place, value = who[order], place[order], value[order]
+            ok = np.arange(len(who)) - np.searchsorted(who, who, "left") < keep
+            return who[ok], place[ok], value[ok]
+
+        return search
+
+    return prepare
+
+
+def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 5, every: int = 50, sample: int = 8192, recall: float = 0.95, report: dict | None = None) -> DataFrame:
     """For rows whose id `every` divides, the `top` nearest others found by cosine: query_id, rank, vec_id, score.
 
-    Every usable row is indexed. Rows that repeat id and vector count once; a row is never its own neighbour. The
-    candidates of a query are all rows of its probed partitions. Partitions are cut into blocks of about
-    BLOCK_ROWS rows by a hash, so a partition that most rows fall into is searched by many tasks.
+    Every usable row is indexed. Rows that repeat id and vector count once; a row is never its own neighbour; vectors of
+    different lengths are not compared. The candidates of a query are all rows of its probed partitions. Partitions
+    are cut into blocks of about BLOCK_ROWS rows by a hash, so a partition that most rows fall into is searched by many
+    tasks. An empty table has an empty answer. report, if given, gets length -> (parts, probes).
     """
     spark = rows.sparkSession
     small_batches(spark)
     known, asked, different = ready(usable(rows, id_col, vector_col, True), top, every)
-    router, parts, probes = fit(known, known.count(), sample, recall, top)
-    shared = spark.sparkContext.broadcast((router, probes))  # at most sample / 32 parts x 64 weights
+    routes = fit(known, known.count(), sample, recall, top)
+    if report is not None:
+        report.update({n: (parts, probes) for n, (_, parts, probes) in routes.of.items()})
+    shared = spark.sparkContext.broadcast(routes)  # at most sample / 32 parts x 512 weights a length
 
     def route(many: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            router, probes = shared.value
             for batch in batches:
-                vectors = batch.column("vector")
-                matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-                order = np.zeros((len(vectors), 1), np.int64) if router is None else router.order(normed(matrix))
-                order = order[:, : probes if many else 1].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+                parts = shared.value.parts(batch.column("vector"), many)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
         return run
 
-    homes = written(known.select("k1", "k2", "vector", "ids").mapInArrow(route(False), "k1 long, k2 long, vector array<double>, ids array<long>, parts array<int>").withColumn("part", F.col("parts")[0]).drop("parts"), "homes")
-    sizes = {r["part"]: r["count"] for r in homes.groupBy("part").count().collect()}  # as many as parts
-    if not sizes:
-        sizes = {0: 1}
-    blocks = F.create_map(*[x for p, n in sizes.items() for x in (F.lit(p), F.lit(-(-n // BLOCK_ROWS)))])
-    name = lambda part, nth: F.concat_ws(":", part, nth)
+    part = F.concat_ws(":", F.size("vector"), F.col("part"))
+    homes = written(known.select("k1", "k2", "vector", "ids").mapInArrow(route(False), "k1 long, k2 long, vector array<double>, ids array<long>, parts array<int>").withColumn("part", F.col("parts")[0]).withColumn("part", part).drop("parts"), "homes")
+    sizes = {r["part"]: -(-r["count"] // BLOCK_ROWS) for r in homes.groupBy("part").count().collect()} or {"": 1}  # as many as parts
+    blocks = F.create_map(*[x for p, n in sizes.items() for x in (F.lit(p), F.lit(n))])
+    name = lambda part, nth: F.concat_ws("/", part, nth)
     placed = homes.select(name(F.col("part"), F.pmod(F.xxhash64("k2", "k1"), blocks[F.col("part")])).alias("block"), "vector", "ids")
-    probed = different.select("k1", "k2", "vector").mapInArrow(route(True), "k1 long, k2 long, vector array<double>, parts array<int>").select("k1", "k2", "vector", F.explode("parts").alias("part"))
+    probed = different.select("k1", "k2", "vector").mapInArrow(route(True), "k1 long, k2 long, vector array<double>, parts array<int>").select("k1", "k2", "vector", F.explode("parts").alias("part")).withColumn("part", part)
     there = probed.where(blocks[F.col("part")].isNotNull())
     sent = there.select("k1", "k2", "vector", "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("nth")).select("k1", "k2", "vector", name(F.col("part"), F.col("nth")).alias("block"))
-    found = search_blocks(placed, sent, lambda q, r, least: nearest(q, r, least, top + 1), "double")
-    return answer(asked, found, top)
+    return answer(asked, search_blocks(placed, sent, exact(top + 1), "double", sum(sizes.values())), top)

@@ -8,10 +8,10 @@ searched once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.llm.common import small_batches, written
@@ -21,17 +21,12 @@ SALTS = 16
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
-    """(vec_id, vector) of rows with an id whose vector has components, all of them finite numbers.
-
-    Vectors of another length than most (of equally many, the longer) cannot be compared and are left out.
-    """
+    """(vec_id, vector) of rows with an id whose vector has components, all of them finite numbers. Vectors of different
+    lengths have no inner product: each is compared with those of its own length."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = rows.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
-    if nonzero:
-        out = out.where(F.exists("vector", lambda x: x != 0))
-    most = out.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return out.where(F.size("vector") == (most["n"] if most else 0))
+    return out.where(F.exists("vector", lambda x: x != 0)) if nonzero else out
 
 
 def class_keys(vector: Column) -> list[Column]:
@@ -48,45 +43,57 @@ def classes(rows: DataFrame, top: int) -> DataFrame:
     return few.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-#: (queries, rows, least id of each row) -> per query: places of its best rows and their scores.
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
+#: (rows, least id of each row) -> an index; the index of queries -> query, place of a row, and score, of each query's best rows.
+Index = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Kernel = Callable[[np.ndarray, np.ndarray], Index]
+
+
+def matrix_of(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def search_blocks(rows: DataFrame, queries: DataFrame, kernel: Kernel, score: str) -> DataFrame:
+def search_blocks(rows: DataFrame, queries: DataFrame, kernel: Kernel, score: str, blocks: int) -> DataFrame:
     """rows (block, vector, ids) and queries (block, k1, k2, vector), each query once for every block that it is to be
-    compared with. Per query and row that the kernel returns: k1, k2, score, ids.
+    compared with; vectors of a block have one length. Per query and row that the kernel returns: k1, k2, score, ids.
 
-    A block is small, so a task holds one block and its queries in memory, and nothing else.
+    A task holds one block's rows and their index, made once; the block's queries, however many they are, pass
+    by a batch at a time. The number of partitions is given, so that small blocks that take long are not put together.
     """
     small_batches(rows.sparkSession)
     left = rows.select("block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "vector", "ids")
     right = queries.select("block", F.lit(1).alias("side"), "k1", "k2", "vector", F.array().cast("array<long>").alias("ids"))
-    dealt = left.unionByName(right).repartition("block").sortWithinPartitions("block", "side")
+    parts = max(1, min(3 * blocks, max(blocks, 2000)))  # a few blocks fall together by their hashes
+    dealt = left.unionByName(right).repartition(parts, "block").sortWithinPartitions("block", "side")
+    kind = pa.int64() if score == "long" else pa.float64()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches, cut where block or side changes."""
         for batch in batches:
-            vectors = batch.column("vector")
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-            yield from zip(batch.column("block").to_pylist(), batch.column("side").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), flat, batch.column("ids").to_pylist(), strict=True)
-
-    kind = pa.int64() if score == "long" else pa.float64()
+            if n := batch.num_rows:
+                block, side = batch.column("block").to_numpy(zero_copy_only=False), batch.column("side").to_numpy()
+                cuts = np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+                    yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in groupby(each(batches), key=lambda r: r[0]):
-            own = list(own)
-            stored, asked = [r for r in own if not r[1]], [r for r in own if r[1]]
-            if not stored or not asked:
+        at, held, index, ids = None, [], None, None
+        for some in runs(batches):
+            block, side = some.column("block")[0].as_py(), some.column("side")[0].as_py()
+            if block != at:
+                at, held, index, ids = block, [], None, None
+            if not side:
+                held.append((matrix_of(some.column("vector")), some.column("ids")))
+                continue
+            if not held and index is None:
                 continue
-            matrix, least = np.array([r[4] for r in stored]), np.array([r[5][0] for r in stored])
-            for i in range(0, len(asked), 2048):
-                some = asked[i : i + 2048]
-                k1, k2, scores, ids = [], [], [], []
-                for q, (places, values) in zip(some, kernel(np.array([r[4] for r in some]), matrix, least), strict=True):
-                    k1 += [q[2]] * len(places)
-                    k2 += [q[3]] * len(places)
-                    scores += values.tolist()
-                    ids += [stored[p][5] for p in places.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(scores, kind), pa.array(ids, pa.list_(pa.int64()))], names=["k1", "k2", "score", "ids"])
+            if index is None:
+                ids = pa.concat_arrays([x for _, x in held])
+                index = kernel(np.concatenate([x for x, _ in held]), pc.list_element(ids, 0).to_numpy())
+                held = []
+            who, place, value = index(matrix_of(some.column("vector")))
+            who = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("k1").take(who), some.column("k2").take(who), pa.array(value, kind), ids.take(pa.array(place, pa.int64()))], names=["k1", "k2", "score", "ids"])
 
     return dealt.mapInArrow(run, f"k1 long, k2 long, score {score}, ids array<long>")
 

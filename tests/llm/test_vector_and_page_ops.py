@@ -14,19 +14,19 @@ def table(spark):
     rng = np.random.default_rng(4)
     rows = [(i, v.tolist(), 0, "x") for i, v in enumerate(rng.normal(size=(400, 8)))]
     rows += [(400 + i, rows[7][1], 0, "x") for i in range(30)]  # ties
-    rows += [(900, None, 0, "x"), (950, [0.0] * 8, 0, "x"), (1000, [float("nan")] * 8, 0, "x"), (1050, [1.0, None] * 4, 0, "x"), (1100, [1.0], 0, "x"), (None, rows[0][1], 0, "x"), (50, rows[50][1], 0, "x")]
+    rows += [(900, None, 0, "x"), (950, [0.0] * 8, 0, "x"), (1000, [float("nan")] * 8, 0, "x"), (1050, [1.0, None] * 4, 0, "x"), (1100, [1.0], 0, "x"), (None, rows[0][1], 0, "x"), (50, rows[50][1], 0, "x"), (1150, [1.0, 2.0, -0.5], 0, "x"), (1151, [3.0, 1.0, 1.0], 0, "x")]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string")
 
 
 def brute(table, nonzero, change, measure):
-    rows = {(r.vec_id, tuple(r.embedding)) for r in table.collect() if r.vec_id is not None and r.embedding and len(r.embedding) == 8 and None not in r.embedding and np.isfinite(r.embedding).all() and (not nonzero or any(r.embedding))}
+    rows = {(r.vec_id, tuple(r.embedding)) for r in table.collect() if r.vec_id is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and (not nonzero or any(r.embedding))}
     rows = [(i, change(np.array(v))) for i, v in rows]
     out = {}
     for q, v in rows:
         if q % 50 == 0:
-            best = sorted(((-measure(v, w), i) for i, w in rows if i != q))[:5]
+            best = sorted(((-measure(v, w), i) for i, w in rows if i != q and len(v) == len(w)))[:5]
             out[q] = [(i, -s) for s, i in best]
-    return out
+    return {q: best for q, best in out.items() if best}
 
 
 def answers(df):
@@ -50,18 +50,29 @@ def test_cover_tree_prunes_and_covers():
 
     def check(node):
         assert (np.sqrt(((data[node.points] - node.centre) ** 2).sum(1)) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
-        for c in node.children:
+        assert sorted(np.concatenate([node.singles, *(c.points for c in node.kids)])) == sorted(node.points)
+        for c in node.kids:
             check(c)
 
     check(covertree.cover_tree(data))
-    tree = covertree.DualTree(data[::20], data, np.arange(2000), 6)
-    assert tree.compared < 0.6 * 100 * 2000
-    for k, (places, scores) in enumerate(tree.found()):
+    tree = covertree.DualTree(data, np.arange(2000), 6)
+    who, places, scores = tree(data[::20])
+    assert tree.compared < 0.2 * 100 * 2000
+    for k in range(100):
         all_ = data[::20][k] @ data.T
         order = np.lexsort((np.arange(2000), -all_))[:6]
-        assert places.tolist() == order.tolist() and scores.tolist() == all_[order].tolist()
+        assert places[who == k].tolist() == order.tolist() and scores[who == k].tolist() == all_[order].tolist()
+
+
+def test_products_beyond_doubles():
+    data = np.array([[3e9, 1], [3e9, 2], [3e9, 3], [-5, 7]])
+    who, places, scores = covertree.DualTree(data, np.arange(4), 2)(data)
+    whole = [[int(x) for x in v] for v in data.tolist()]
+    for k in range(4):
+        want = sorted((-(whole[k][0] * v[0] + whole[k][1] * v[1]), i) for i, v in enumerate(whole))[:2]
+        assert [(-s, p) for s, p in zip(scores[who == k].tolist(), places[who == k].tolist(), strict=True)] == want
+    with pytest.raises(OverflowError):
+        covertree.DualTree(data * 2, np.arange(4), 2)(data * 2)
 
 
 def test_partitions_are_balanced():
@@ -73,22 +84,45 @@ def test_partitions_are_balanced():
 
 def test_ann_search(spark, table):
     want = brute(table, True, lambda v: v, lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))))
-    got = answers(ann.search(table))
-    assert set(got) == set(want)
-    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
+    report = {}
+    got = answers(ann.search(table, recall=0.9, report=report))
+    assert report[8][0] == 8 and set(report) == {8}  # the method runs on small tables, too
+    assert set(got) == set(want) and got[1150] == [(1151, pytest.approx(4.5 / (5.25 * 11) ** 0.5))]
+    exact = {q: dict(best) for q, best in want.items()}
+    assert all(np.isclose(s, exact[q][i]) for q, best in got.items() for i, s in best if i in exact[q])
+    assert sum(i in exact[q] for q, best in got.items() for i, _ in best) >= 0.9 * sum(map(len, want.values()))
     assert ann.search(table.where("vec_id < 0")).count() == 0
 
 
-def test_ann_recall(spark):
-    rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(size=(6000, 16)), rng.normal(size=(3000, 16)) * 0.05 + 1])  # a third lies close together
+def recall(spark, x, **args):
+    """Recall against brute force, and the greatest share of the parts that is probed."""
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.vec_id) for r in ann.search(rows, sample=4096).collect()}
+    report = {}
+    got = {(r.query_id, r.vec_id) for r in ann.search(rows, report=report, **args).collect()}
     unit = ann.normed(x)
     near = unit[::50] @ unit.T
     near[np.arange(len(near)), np.arange(0, len(x), 50)] = -9
     want = {(50 * q, int(i)) for q, best in enumerate(np.argsort(-near, axis=1)[:, :5]) for i in best}
-    assert len(got & want) / len(want) >= 0.9
+    return len(got & want) / len(want), max(probes / parts for parts, probes in report.values())
+
+
+def test_ann_recall_in_clusters(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 9000)] + rng.normal(size=(9000, 16)) * 0.2
+    found, probed = recall(spark, x, sample=4096)
+    assert found >= 0.9 and probed < 0.5
+
+
+def test_ann_recall_with_a_dense_third(spark):
+    rng = np.random.default_rng(2)
+    found, _ = recall(spark, np.concatenate([rng.normal(size=(6000, 16)), rng.normal(size=(3000, 16)) * 0.05 + 1]), sample=4096)
+    assert found >= 0.9
+
+
+def test_ann_recall_without_structure(spark):
+    """As the driver's vectors, which have none: all rows are learned, and fewer than half of the parts are probed."""
+    found, probed = recall(spark, np.random.default_rng(3).normal(size=(2000, 64)))
+    assert found >= 0.9 and probed < 0.5
 
 
 def test_classes_keep_least_ids(spark, table):
