@@ -5,8 +5,10 @@ into longest phrases that occur in the sample: as long as the automaton has a tr
 goes on, otherwise it ends and the next one starts. The number of phrases over the text's length
 estimates the cross entropy; the language with the lowest number wins.
 
-A text is folded before: lower case, letters kept, all else one blank. Whole texts are parsed, in
-segments of SEGMENT letters (a phrase also ends with its segment), many segments in step.
+A text is folded before: lower case, letters kept, all else one blank. Whole texts are parsed: segments of
+SEGMENT letters in step at first, each as if a phrase started with it. Then every segment is parsed again from the state in
+which the one before it ended, until a phrase starts where one started before, from where on both
+parses are the same. That gives the phrases of the whole text.
 """
 
 from __future__ import annotations
@@ -145,6 +147,7 @@ class CrossParser:
         self.rank[np.argsort(-counts, kind="stable")] = np.arange(1, len(points) + 1)
         self.symbols, self.dense = len(points) + 2, min(len(points), DENSE)
         self.langs = [lang for lang, x in learned.items() if len(x) > 1]
+        self.learned = [len(learned[lang]) for lang in self.langs]
         self.moves = [automaton(self.codes(learned[lang]).tolist()) for lang in self.langs]
         self.tables: list[np.ndarray] = []
         self.rare: list[Rare] = []
@@ -172,26 +175,58 @@ class CrossParser:
         filled = np.minimum(SEGMENT, lengths[owner] - nth * SEGMENT)
         grid[np.arange(SEGMENT) < filled[:, None]] = self.codes(np.concatenate(texts))
         order = np.argsort(-filled, kind="stable")
+        seat = np.empty(len(order), np.int64)  # of each segment in this order
+        seat[order] = np.arange(len(order))
+        later = np.flatnonzero(nth > 0)
+        sizes = filled[order]
         grid = np.ascontiguousarray(grid[order].T)
-        width = self.dense + 2
-        far = [np.flatnonzero((row > self.dense) & (row < self.symbols - 1)) for row in grid] if self.symbols > width else []
-        whole = grid
-        grid = np.minimum(grid, self.dense + 1)
-        active = np.searchsorted(-filled[order], -np.arange(SEGMENT), "left")  # segments longer than each place
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
+        dense = np.minimum(grid, self.dense + 1)
+        active = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")  # segments longer than each place
+        for k in range(len(self.langs)):
+            starts = np.zeros(grid.shape, bool)  # of phrases
+            state = np.zeros(len(owner), np.int32)
             for j in range(SEGMENT):
                 if not (n := active[j]):
                     break
-                move = table[state[:n] + grid[j, :n]]
-                if far and far[j].size:
-                    found = self.rare[k].moves(state[far[j]] // width, whole[j, far[j]])
-                    move[far[j]] = (found >> 1) * width * 2 + (found & 1)
-                count[:n] += move & 1
-                state[:n] = move >> 1
+                move = self.step(k, state[:n], dense[j, :n], grid[j, :n])
+                starts[j, :n], state[:n] = move & 1, move >> 1
+            count = starts.sum(0, dtype=np.int64)
+            ended, todo = state.copy(), later
+            while todo.size:  # segments whose predecessor's end is known anew
+                own, entered = seat[todo], ended[seat[todo - 1]]
+                total, after, going = starts[:, own].sum(0, dtype=np.int64), state[own], np.arange(len(own))
+                now = entered
+                for j in range(SEGMENT):
+                    going = going[sizes[own[going]] > j]
+                    if not going.size:
+                        break
+                    move = self.step(k, now[going], dense[j, own[going]], grid[j, own[going]])
+                    new, old = (move & 1).astype(bool), starts[j, own[going]]
+                    total[going] += new.astype(np.int64) - old
+                    now[going] = after[going] = move >> 1
+                    same = new & old
+                    after[going[same]] = state[own[going[same]]]
+                    going = going[~same]
+                count[own] = total
+                changed = after != ended[own]
+                ended[own] = after
+                follow = todo[changed] + 1
+                follow = follow[follow < len(owner)]
+                todo = follow[nth[follow] > 0]
             out[:, k] = np.bincount(owner[order], count, len(texts))
         return out
 
+    def step(self, k: int, state: np.ndarray, near: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Twice the next state's row in language k's table, plus 1 where a phrase starts; near: codes, those without columns as one."""
+        move = self.tables[k][state + near]
+        if self.symbols > self.dense + 2:
+            far = np.flatnonzero((code > self.dense) & (code < self.symbols - 1))
+            if far.size:
+                width = self.dense + 2
+                found = self.rare[k].moves(state[far] // width, code[far])
+                move[far] = (found >> 1) * width * 2 + (found & 1)
+        return move
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text. The score is the winner's share of exp(-20 x phrases per letter);
         ties go to the language that sorts first."""
@@ -208,6 +243,16 @@ class CrossParser:
             scores.append(float(1 / np.exp(-20.0 / len(own) * (row - row[best])).sum()))
         return langs, scores
 
+    def acceptable(self, texts: list[str | None], letters: int = 50, most: float = 0.5, learned: int = 5_000) -> list[bool]:
+        """Whether each text has letters, and may be in a learned language. It is in none if it has so many letters or more and
+        even the winner needs more than `most` phrases a letter (random letters need 0.7, texts in their language 0.1 to 0.25),
+        unless the winner has learned fewer than `learned` letters, too few to rule a text out. Without languages, no text is."""
+        points = [fold(t or "") for t in texts]
+        if not self.langs:
+            return [len(own) > 0 for own in points]
+        counts = self.phrases(points)
+        return [len(own) > 0 and not (len(own) >= letters and row.min() > most * len(own) and self.learned[int(row.argmin())] >= learned) for own, row in zip(points, counts, strict=True)]
+
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 3 == 1
@@ -221,27 +266,31 @@ def is_held_out(column: str = "doc_id"):
 def fit(docs: DataFrame, per_lang: int = 60, letters: int = 30_000) -> CrossParser:
     """Learns from text and non-null lang of documents that are not held out.
 
-    The sample is bounded: about per_lang documents of each language, drawn by a hash, at most 4 x letters
-    characters of each, and of them `letters` letters a language. Languages are taken to be few.
+    The sample is bounded: about 2 x per_lang different texts of each language, drawn by a hash of the text (all of
+    them, where a language has no more), at most 4 x letters characters of each, and of them `letters` letters a language. So neither
+    repeated rows nor repeated or null ids can crowd a language out. Languages are taken to be few; more
+    than 10,000 different labels are an error.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select(F.col("lang").cast("string").alias("lang"), "text")
+    labelled = labelled.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("mark"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).limit(10_001).collect()}
+    if len(counts) > 10_000:
+        raise ValueError("lang has more than 10,000 different values: these are no languages")
     if not counts:
         return CrossParser({})
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    chosen = labelled.select("lang", "text", draw.alias("draw")).where(F.col("draw") <= share[F.col("lang")])
-    rows = chosen.select("lang", "draw", F.substring("text", 1, 4 * letters).alias("text")).orderBy("draw", "text").limit(2 * per_lang * len(counts)).collect()
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(1.0 if n <= 3 * per_lang else 2 * per_lang / n))])
+    draw = F.pmod("mark", F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.where(draw <= share[F.col("lang")]).select("lang", "mark", F.substring("text", 1, 4 * letters).alias("text")).dropDuplicates(["lang", "mark"])
     samples: dict[str, list[str]] = {}
-    for r in rows:
-        if r["text"] not in (own := samples.setdefault(r["lang"], [])):
-            own.append(r["text"])
+    for r in chosen.orderBy("mark").collect():  # at most some 4 x per_lang texts of each language
+        samples.setdefault(r["lang"], []).append(r["text"])
     return CrossParser(samples, letters)
 
 
 def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id, lang_pred and score. Only the text is looked at; null text and text without letters give
-    'und' with score 0. Rows are independent: no shuffle."""
+    """Per row, repeated ones too: its id, lang_pred and score. Only the text is looked at, all of it, however long; null text and
+    text without letters give 'und' with score 0, and so does every text if no language was learned. Ties go to the
+    language that sorts first. Other columns are not read. Rows are independent: no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by languages x letters
@@ -256,14 +305,15 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: CrossParser) -> DataFrame:
-    """The documents, with the columns that they have, whose text has a language: null texts and texts without letters go."""
+    """The documents, with the columns that they have, whose text can be in a learned language: null texts, texts without
+    letters and texts that no learned language explains go (CrossParser.acceptable). Without labels to learn from, only texts
+    without letters go. Repeated rows are kept or go together."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4_000_000):
-            langs, _ = shared.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs]))
+            yield batch.filter(pa.array(shared.value.acceptable(batch.column("text").to_pylist())))
 
     return docs.mapInArrow(run, docs.schema)

@@ -157,14 +157,41 @@ def brute_phrases(text, sample):
 
 
 def test_cross_parsing():
-    model = langid.CrossParser({"aa": ["banana bandana cabana"], "bb": ["mississippi ississ"]})
-    learned = {"aa": "banana bandana cabana ", "bb": "mississippi ississ "}
-    for text in ("banana", "ban miss", "zzz", "cabana bandana banana ipp", "a" * 700):
-        want = [sum(brute_phrases(text[i : i + langid.SEGMENT], learned[lang]) for i in range(0, len(text), langid.SEGMENT)) for lang in model.langs]
-        assert model.phrases([langid.fold(text)]).tolist() == [want]
+    """Phrase counts of whole texts, beyond the segments that are parsed in step, against greedy search in the sample."""
+    rng = random.Random(1)
+    learned = {"aa": "banana bandana cabana ", "bb": "mississippi ississ ", "cc": "".join(rng.choice("ab") for _ in range(3000)) + " ", "dd": "ab" * 400 + "c "}
+    model = langid.CrossParser({lang: [t] for lang, t in learned.items()})
+    texts = ["banana", "ban miss", "zzz", "cabana bandana banana ipp", "a" * 700, learned["cc"][7:2900], "ab" * 2000, "ba" * 1500 + "c" * 700, "".join(rng.choice("abcdz ") for _ in range(4000))]
+    folded = [langid.fold(t) for t in texts]
+    got = model.phrases(folded)
+    for own, row in zip(folded, got, strict=True):
+        assert row.tolist() == [brute_phrases("".join(map(chr, own)), learned[lang]) for lang in model.langs]
     assert model.predict([None, "", "123", "bandana"])[0] == ["und", "und", "und", "aa"]
 
 
+def test_language_samples(spark):
+    """Neither null or repeated ids nor repeated rows crowd a language out."""
+    rows = [(None, f"the house number {i} stands by the road", "en", "s", 1, None) for i in range(600)] + [(None, "das gleiche Haus steht an der gleichen Straße", "de", "s", 1, None)] * 300
+    rows += [(None, f"das Haus Nummer {i} steht an der Straße", "de", "s", 1, None) for i in range(9)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    assert model.langs == ["de", "en"] and model.predict(["the road", "an der Straße"])[0] == ["en", "de"]
+
+
+def test_language_rejects(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    own = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(400))
+    rows = [(i, own(100), "xx", "s", 1, None) for i in range(60)] + [(100, noise, None, "s", 1, None), (101, own(30), None, "s", 1, None), (102, "qq zz", None, "s", 1, None), (103, None, "xx", "s", 1, None), (104, "12", "xx", "s", 1, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in langid.keep_identified(docs, langid.fit(docs)).collect()}
+    assert kept == {*range(60), 101, 102}
+    bare = docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars", "ids")
+    assert {r.doc_id for r in langid.keep_identified(bare, langid.fit(bare)).collect()} == {*range(60), 100, 101, 102}
+    assert {r.lang_pred for r in langid.identify(bare, langid.fit(bare)).collect()} == {"und"}
+    assert langid.keep_identified(docs.where("doc_id < 0"), langid.fit(docs)).count() == 0
+
+
 def test_language_held_out(spark, sf, docs, empty):
     table = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
     rows = langid.identify(table, langid.fit(table)).join(table.select("doc_id", "lang", langid.is_held_out().alias("h")), "doc_id").where("h").collect()
