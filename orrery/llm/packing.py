@@ -7,9 +7,10 @@ the numbers looked up in the plan.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -52,106 +53,147 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [x for some in open_.values() for x in some]
 
 
-def fillings(counts: np.ndarray, lengths: np.ndarray, space: int, most: int) -> list[Filling]:
-    """Undominated ways to fill the space beside a sequence's longest piece, of up to three pieces and then
-    greedily on, least waste first; at most `most` of them.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs. counts: of each length from 0 to capacity.
 
-    The longest single piece; for each first piece the largest partner that fits; for each first piece one
-    triple of least waste, until `most` fillings waste nothing. Others are not tried, so the search is not exhaustive.
+    For each least length a up to half the capacity: pieces above capacity - a share a sequence with none of length a
+    or more, each piece above half the capacity has a sequence of its own, and of the pieces from a to half the capacity what
+    does not fit beside the latter needs more.
     """
-    have = lengths[(counts[lengths] > 0) & (lengths <= space)]
-    if not have.size:
-        return [()]
-    found: dict[Filling, int] = {}
-
-    def add(parts: tuple[int, ...]) -> None:
-        need = defaultdict(int)
-        for x in parts:
-            need[x] += 1
-        if any(counts[x] < n for x, n in need.items()):
+    number, size = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.concatenate(([0], np.flatnonzero(counts[: half + 1])))
+    before = np.maximum(a - 1, 0)
+    large = number[capacity] - number[half]
+    beside = (number[capacity - a] - number[half]) * capacity - (size[capacity - a] - size[half])
+    more = size[half] - np.where(a > 0, size[before], 0) - beside
+    return int((large + np.maximum(0, -(-more // capacity))).max())
+
+
+class Completions:
+    """The undominated fillings of a space, in the order of their waste, longest pieces first.
+
+    A filling is dominated if another one can stand for it: if a piece that is left fits into its waste, or can take
+    the place of one, two or three of its pieces. Which sums the shorter lengths can reach is known as bits
+    of an integer, so that the enumeration runs into no dead end.
+    """
+
+    def __init__(self, counts: np.ndarray, space: int):
+        self.counts, self.space = counts, space
+        own = np.flatnonzero(counts[: space + 1])
+        self.lengths, self.have = own[::-1].tolist(), own.tolist()
+        self.reach, mask = [1] * (len(own) + 1), (1 << (space + 1)) - 1
+        for i in range(len(own) - 1, -1, -1):
+            x, bits = self.lengths[i], self.reach[i + 1]
+            left, k = min(int(counts[x]), space // x), 1
+            while left > 0:
+                bits |= bits << (min(k, left) * x) & mask
+                left, k = left - k, 2 * k
+            self.reach[i] = bits
+
+    def exactly(self, i: int, target: int) -> Iterator[Filling]:
+        """Every filling by the lengths from place i on whose sum is the target."""
+        if target == 0:
+            yield ()
             return
-        left = space - sum(parts)
-        while left > 0 and (at := int(np.searchsorted(have, left, "right")) - 1) >= 0:  # what still fits, the longest first
-            while at >= 0 and counts[have[at]] <= need[int(have[at])]:
-                at -= 1
-            if at < 0:
-                break
-            x = int(have[at])
-            n = min(left // x, int(counts[x]) - need[x])
-            need[x] += n
-            left -= n * x
-        found[tuple(sorted(((x, n) for x, n in need.items() if n), reverse=True))] = left
-
-    add((int(have[-1]),))
-    firsts = have[::-1]
-    at = np.searchsorted(have, space - firsts, "right") - 1
-    at -= (at >= 0) & (have[at] == firsts) & (counts[firsts] < 2)  # a single piece is no partner of itself
-    fits = at >= 0
-    first, partner = firsts[fits], have[at[fits]]
-    for k in np.argsort(space - first - partner, kind="stable")[: 2 * most].tolist():  # a pair comes at most twice
-        add((int(max(first[k], partner[k])), int(min(first[k], partner[k]))))
-    for a in firsts.tolist():
-        if sum(left == 0 for left in found.values()) >= most:
-            break  # nothing leaves less
-        seconds = have[have <= space - a]
-        at = np.searchsorted(have, space - a - seconds, "right") - 1
-        ok = at >= 0
-        waste = space - a - seconds[ok] - have[at[ok]]
-        if waste.size:
-            k = int(waste.argmin())
-            add(tuple(sorted((a, int(seconds[ok][k]), int(have[at[ok][k]])), reverse=True)))
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))][:most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, branches: int = 8) -> Plan:
+        for j in range(max(i, len(self.have) - bisect_right(self.have, target)), len(self.lengths)):
+            if not self.reach[j] >> target & 1:
+                return
+            x = self.lengths[j]
+            for k in range(min(int(self.counts[x]), target // x), 0, -1):
+                if self.reach[j + 1] >> (target - k * x) & 1:
+                    for rest in self.exactly(j + 1, target - k * x):
+                        yield ((x, k), *rest)
+
+    def replaceable(self, filling: Filling, waste: int) -> bool:
+        need = dict(filling)
+        pieces = [x for x, n in filling for _ in range(min(n, 3))]
+        sums = {0, *pieces, *(a + b for a, b in combinations(pieces, 2)), *(sum(c) for c in combinations(pieces, 3))} if len(pieces) <= 24 else {0, *pieces}
+        for s in sums:
+            single = s in need
+            for y in self.have[bisect_left(self.have, s + single) :]:
+                if y > s + waste:
+                    break
+                if self.counts[y] > need.get(y, 0):
+                    return True
+            if single and any(a + b == s for a, b in combinations(pieces, 2)) and self.counts[s] > need[s]:
+                return True
+        return False
+
+    def __call__(self, most: int) -> Iterator[tuple[Filling, int]]:
+        """Each undominated filling and its waste, up to a waste of `most`."""
+        for waste in range(min(most, self.space) + 1):
+            if self.reach[0] >> (self.space - waste) & 1:
+                for filling in self.exactly(0, self.space - waste):
+                    if not self.replaceable(filling, waste):
+                        yield filling, waste
+
+
+def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_000, report: dict | None = None) -> Plan:
     """The packing of the histogram in as few sequences as the search finds.
 
-    Sequences are completed one after another around the longest piece left; equal ones together, as
-    often as the pieces last. Best fit gives the first incumbent. A branch is left when the space it has
-    wasted so far allows no packing better than the incumbent, and the search ends when the incumbent
-    meets the lower bound (total length / capacity, rounded up), which proves it optimal, or after so many nodes;
-    a node has at most `branches` fillings. If it ends without the bound, fewer sequences may be possible.
+    Sequences are completed one after another around the longest piece left, by every undominated filling in turn, least waste
+    first; equal sequences together, as often as the pieces last, then half as often, and so on down to once. Best fit gives
+    the incumbents: of the whole, and of what is left at nodes of the search. A branch is left when the waste so far, or the
+    lower bound of what is left, allows no packing better than the incumbent.
+
+    The search ends when the incumbent meets the lower bound or every branch was seen: the packing is then optimal. Since
+    the problem is hard, it also ends after so much effort (lengths looked at, over all nodes); it may then not be. report, if
+    given, gets sequences, bound and proven.
     """
     counts = {x: n for x, n in counts.items() if n}
-    if not counts:
-        return []
-    if min(counts) < 1 or max(counts) > capacity:
+    if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
-    total = sum(x * n for x, n in counts.items())
-    best = best_fit(counts, capacity)
-    used = sum(n for _, n in best)
-    least = -(-total // capacity)
-    lengths = np.array(sorted(counts))
     start = np.zeros(capacity + 1, np.int64)
     start[list(counts)] = list(counts.values())
-    # A node: counts left, waste so far, the plan as a linked list (part, before).
-    stack: list[tuple[np.ndarray, int, tuple | None]] = [(start, 0, None)]
-    while stack and used > least and nodes > 0:
-        nodes -= 1
-        left, waste, plan = stack.pop()
-        if waste > (used - 1) * capacity - total:
-            continue
-        rest = lengths[left[lengths] > 0]
-        if not rest.size:
-            found = []
-            while plan is not None:
-                part, plan = plan
-                found.append(part)
-            if (n := sum(n for _, n in found)) < used:
-                best, used = found, n
-            continue
-        longest = int(rest[-1])
+    total, least = sum(x * n for x, n in counts.items()), lower_bound(start, capacity)
+    best = best_fit(counts, capacity)
+    used, nodes, proven = sum(n for _, n in best), 0, False
+    every = max(1, len(counts) // 32)  # best fit is tried at one node of so many
+
+    def branches(left: np.ndarray, waste: int) -> Iterator[tuple[dict[int, int], int, int]]:
+        longest = int(np.flatnonzero(left)[-1])
         after = left.copy()
         after[longest] -= 1
-        for filling in reversed(fillings(after, lengths, capacity - longest, branches)):
+        for filling, lost in Completions(after, capacity - longest)((used - 1) * capacity - total - waste):
             need = dict(filling)
             need[longest] = need.get(longest, 0) + 1
             many = min(int(left[x]) // n for x, n in need.items())
-            own = left.copy()
-            for x, n in need.items():
-                own[x] -= n * many
-            lost = (capacity - sum(x * n for x, n in need.items())) * many
-            stack.append((own, waste + lost, ((tuple(sorted(need.items(), reverse=True)), many), plan)))
+            while many:
+                yield need, many, lost
+                many //= 2
+
+    # A node: what is left, sequences, waste, the plan as a linked list (part, before), its branches.
+    stack = [(start, 0, 0, None, branches(start, 0))] if counts else []
+    while stack and used > least and effort > 0:
+        left, bins, waste, plan, more = stack[-1]
+        if (step := next(more, None)) is None:
+            stack.pop()
+            continue
+        need, many, lost = step
+        own, now, gone = left.copy(), bins + many, waste + lost * many
+        for x, n in need.items():
+            own[x] -= n * many
+        nodes += 1
+        effort -= 1
+        if gone > (used - 1) * capacity - total or now + lower_bound(own, capacity) >= used:
+            continue
+        trail = ((tuple(sorted(need.items(), reverse=True)), many), plan)
+        rest = np.flatnonzero(own)
+        effort -= len(rest)
+        if nodes % every == 0 or not rest.size:
+            found = best_fit({int(x): int(own[x]) for x in rest}, capacity)
+            if (n := now + sum(m for _, m in found)) < used:
+                before = trail
+                while before is not None:
+                    part, before = before
+                    found.append(part)
+                best, used = found, n
+        if rest.size:
+            stack.append((own, now, gone, trail, branches(own, gone)))
+    proven = used <= least or not stack
+    if report is not None:
+        report.update(sequences=used, bound=least, proven=proven)
     return best
 
 
@@ -203,7 +245,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 4000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, effort: int = 2_000_000) -> DataFrame:
     """pieces, a table that is read more than once (written(...)), with sequence_id and offset.
 
     Needs a column length from 1 to capacity. Full pieces are sequences of their own. Pieces of one
@@ -215,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 4000) -> DataFram
     small_batches(spark)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     full = histogram.pop(capacity, 0)
-    places = Places([*bin_completion(histogram, capacity, nodes), *([(((capacity, 1),), full)] if full else [])])
+    places = Places([*bin_completion(histogram, capacity, effort), *([(((capacity, 1),), full)] if full else [])])
     salts = max(16, -(-max([full, *histogram.values(), 0]) // 50_000))
     shared = spark.sparkContext.broadcast(places)  # at most 2,047 fillings of at most 63 lengths
 
