@@ -82,27 +82,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank
 """
 
 
-_QUOTED = {kind: pattern.replace("'", "''") for kind, (pattern, _, _) in secrets.KINDS.items()}
-
-
-def _spans(kind: str) -> str:
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
     """The kind's spans: the texts between matches and the matches before give each one's place."""
-    _, group, least = secrets.KINDS[kind]
-    p = _QUOTED[kind]
-    return f"""SELECT doc_id, source, {list(secrets.KINDS).index(kind)} AS rank, '{kind}' AS kind, v[i] AS value,
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, v[i] AS value,
       CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
     FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS parts FROM d WHERE regexp_matches(t, '{p}')))
     WHERE length(v[i]) >= {least}"""
 
 
+_BASE = " UNION ALL ".join((
+    _spans(0, "assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    _spans(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+    _spans(2, "hex", "[0-9a-f]+", 0, 16),
+))
+_TOKEN = _spans(3, "token", "[A-Za-z0-9+/_-]+", 0, 24)
+
 OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
-base AS ({" UNION ALL ".join(_spans(k) for k in secrets.BASE)}),
-free AS (SELECT f.* FROM ({_spans("token")}) f
+base AS ({_BASE}),
+free AS (SELECT f.* FROM ({_TOKEN}) f
   WHERE regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.a < f.a + f.n AND f.a < b.a + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM free),
-counts AS (SELECT value, count(DISTINCT source) <= 3 AS live FROM every GROUP BY value),
+counts AS (SELECT value, count(DISTINCT source) <= 3 AND count(DISTINCT doc_id) <= 20 AS live FROM every GROUP BY value),
 kept AS (SELECT every.*, live FROM every JOIN counts USING (value) WHERE live OR kind <> 'token'),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) FILTER (kind <> 'token') AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS spans,

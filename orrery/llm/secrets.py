@@ -2,8 +2,8 @@
 
 Each kind's matches and the text between them come from regexp_extract_all and split with the same
 pattern; their lengths give the places. Values are then counted over the corpus by hash: in how many
-repositories (documents) and with how many owners (sources) each occurs. A value of many owners is a copied
-example; one of few is live. Beside the base kinds, long mixed tokens that stand free of any known
+repositories (documents) and with how many owners (sources) each occurs. A value of many owners or repositories is a
+copied example; one of few is live. Beside the base kinds, long mixed tokens that stand free of any known
 name are candidates, and those that look live and belong to few owners become spans of kind `token`.
 
 Null texts have no spans. A null source is an owner of its own. Rows that repeat doc_id and text share one answer.
@@ -21,6 +21,9 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 KINDS = {"assign": (ASSIGN, 2, 12), "access": ("AKIA[A-Z0-9]{14,}", 0, 18), "hex": ("[0-9a-f]{16,}", 0, 16), "token": ("[A-Za-z0-9+/_-]{24,}", 0, 24)}
 BASE = ("assign", "access", "hex")
 
+#: Matches of a text that are put together at a time; salts over which a value's documents are dealt.
+CHUNK, SALTS = 128, 32
+
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int,value:string>>"
 
 
@@ -40,8 +43,15 @@ def spans_of(text: Column, kind: str) -> Column:
         found = F.when(F.char_length(x["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(stop.alias("at"), found.alias("found"))
 
-    empty = F.array().cast(SPAN)
-    some = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    empty, none = F.array().cast(SPAN), F.array().cast(f"array<{SPAN}>")
+
+    def chunk(acc: Column, own: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), empty.alias("found"))
+        return F.aggregate(own, start, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], F.array(x["found"])).alias("found")))
+
+    # An array that grows match by match is copied at each; grown in chunks, the copies stay short in texts of very many matches.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.slice(rows, i * CHUNK + 1, CHUNK))
+    some = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("found")), chunk, lambda acc: F.flatten(acc["found"]))
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), some).otherwise(empty)
 
 
@@ -59,18 +69,30 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     return base.withColumn("free", free).drop("_text")
 
 
-def scan(docs: DataFrame, owner: str = "source", most_owners: int = 3) -> DataFrame:
+def ownership(spans: DataFrame) -> DataFrame:
+    """spans: hash, salt, owner, doc_id. Per hash and salt that occur: owners and repositories (documents) of the hash.
+
+    A hash that very many documents share is counted salt by salt, and joined to by hash and salt, so it is no key of one
+    task. Salts go by document: the documents of a hash's salts add up.
+    """
+    each = spans.select("hash", "salt", "owner", "doc_id").distinct().groupBy("hash", "salt", "owner").agg(F.count("doc_id").alias("n"))
+    totals = each.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    return each.select("hash", "salt").distinct().join(totals, "hash")
+
+
+def scan(docs: DataFrame, owner: str = "source", most_owners: int = 3, most_repositories: int = 20) -> DataFrame:
     """Per document: doc_id, text_hash, base and spans (arrays of start, rank, kind, stop and value, in order), and live:
-    of each span whether at most most_owners owners have its value.
+    of each span whether its value is owner-specific, that is in at most most_repositories documents of at most most_owners
+    owners. What more owners have is a widely copied example, and so is what one owner's templates repeat.
 
-    One pass over the texts; what follows handles spans alone. Ownership is counted with partial
-    aggregates; a value that very many documents share is a skewed key of one equi-join, whose
-    large side Spark may split.
+    One pass over the texts; what follows handles spans alone. An empty table has an empty answer; repeated rows have an
+    answer each; documents without an id count as no repository, but their owners count.
     """
     found = written(candidates(docs, owner), "secrets")
-    every = found.select("doc_id", "text_hash", "owner", F.explode(F.concat("base", "free")).alias("span")).withColumn("hash", F.xxhash64("span.value"))
-    counts = every.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("doc_id").alias("repositories"))
-    judged = every.join(counts, "hash").withColumn("live", F.col("owners") <= most_owners)
+    every = found.select("doc_id", "text_hash", "owner", F.explode(F.concat("base", "free")).alias("span"))
+    every = every.withColumn("hash", F.xxhash64("span.value")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    judged = every.join(ownership(every), ["hash", "salt"])
+    judged = judged.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
     kept = judged.where(F.col("live") | (F.col("span.kind") != "token")).select("doc_id", "text_hash", F.struct("span.start", "span.rank", "span.kind", "span.stop", "span.value", "live", "owners", "repositories").alias("span"))
     own = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
@@ -93,10 +115,10 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", most_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", most_owners: int = 3, most_repositories: int = 20, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span's value replaced by the mark (for an assignment, only what is assigned), and n_chars,
     if there is such a column, counted anew. Documents without spans come back as they were."""
-    found = scan(docs, owner, most_owners).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").where(F.size("spans") > 0)
+    found = scan(docs, owner, most_owners, most_repositories).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").where(F.size("spans") > 0)
     found = found.dropDuplicates(["_id", "_hash"])
     # The rows travel as one column, so that no name among theirs can clash with those used here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -107,10 +129,11 @@ def redact(docs: DataFrame, owner: str = "source", most_owners: int = 3, mark: s
     def step(acc: Column, x: Column) -> Column:
         start = F.greatest(x["stop"] - F.char_length(x["value"]), acc["at"])
         # What overlaps a span before it lengthens the hidden part only.
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when((start > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["stop"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+        more = F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), F.when((start > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["stop"] > acc["at"], F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1)))
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, end)
     hit = F.col("spans").isNotNull()
     joined = joined.withColumn("_text", F.when(hit, clean).otherwise(text))
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
