@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from orrery.plans.tables import written
 
+#: Salts over which a node's edges are dealt.
+SALTS = 16
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of each u. A hub's edges are dealt by the hash of v: its least is found salt by salt,
+    and brought back to the salts that it has edges in, so no task gets all of a hub's edges."""
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+    few = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).select("u", "salt", F.min("m").over(W.partitionBy("u")).alias("m"))
+    return dealt.join(few, ["u", "salt"]).select("u", "v", "m")
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component) of every node that an edge names; the component is its least node.
 
     Each round links all larger neighbours of a node, then all smaller ones, to the least; edges that say
     the same are merged, so their number never grows beyond the first round's. Every round is written, so its
-    lineage is short. Hubs are skewed keys of an equi-join, which Spark splits. Edges with a null end and
-    loops say nothing. Rounds grow with the logarithm of the component's size.
+    lineage is short. Edges with a null end and loops say nothing. Rounds grow with the logarithm of the component's size.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u") != F.col("v"))
     star = written(both.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "edges")
@@ -23,12 +33,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
 
     state = sign(star)
     for _ in range(rounds if state[0] else 0):
-        around = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        around = with_least(star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = around.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # large holds (u, v) with v < u: the least of them takes the others and u.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = with_least(large)
+        small = low.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
         star = written(small.distinct(), "edges")
         if (now := sign(star)) == state:
             break
