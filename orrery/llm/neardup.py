@@ -2,12 +2,12 @@
 
 1. One pass over the texts: words, 64-bit hashes of the distinct shingles, their MinHash signature, and a key
    per band. Texts of equal words are one node from here on (the least doc_id stands for them).
-2. Nodes that share a band's key are candidates. Buckets are tied together by links to their least
-   node, and the components of those links are clusters: all candidate pairs lie within one.
-3. Clusters are cut into blocks, and blocks are compared two by two, so that the work on a large group of copies is
-   spread and no task gets it whole. Signatures are compared batch by batch; after each, pairs whose
-   posterior probability of the wanted similarity is below the miss probability are dropped. What is
-   left is verified on the full sets. A task reports only links that join what it has not joined yet.
+2. Nodes that share a band's key (a bucket) are candidates. First each node is compared with one representative only: of
+   the least nodes of its buckets, that of most of them. That joins most of a large group of copies at once.
+3. Then all pairs of a bucket that are not joined yet are compared. Large buckets are cut into blocks, and blocks are
+   compared two by two, so that the work is spread; only signatures travel there. They are compared
+   batch by batch; after each, pairs whose posterior probability of the wanted similarity is below the miss
+   probability are dropped. The sets of what survives are fetched, and verify it in full.
 4. Components of the links.
 
 With 24 bands of 5 rows a pair at a similarity of 0.85 shares no band with probability 8e-7; the miss probability of the
@@ -26,15 +26,15 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm.common import slices, small_batches, written
 from orrery.operators.components import connected_components
 
 BANDS, ROWS, SHINGLE = 24, 5, 5
 SIZE = BANDS * ROWS
-#: Rows of a block of a cluster, on average.
-BLOCK = 96
+#: Nodes of a block of a bucket, on average; salts over which the rows of a key are dealt.
+BLOCK, SALTS = 256, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,8 +85,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_key(sig: np.ndarray, k: int) -> int:
+    return xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63)
+
+
 def band_keys(sig: np.ndarray) -> list[int]:
-    return [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+    return [band_key(sig, k) for k in range(BANDS)]
 
 
 def tail(matches: int, n: int, threshold: float) -> float:
@@ -117,33 +121,24 @@ class Forest:
         return a != b
 
 
-def links(left: list[tuple[int, np.ndarray, np.ndarray]], right: list[tuple[int, np.ndarray, np.ndarray]] | None, percent: int, miss: float, batch: int = 24) -> list[tuple[int, int]]:
-    """Links among (node, signature, set) of left and right, or within left, that join what is not joined: a spanning
-    forest of the links whose similarity is at least percent / 100, confirmed on the full sets."""
-    other = left if right is None else right
-    a, b = np.array([x[1] for x in left]), np.array([x[1] for x in other])
-    na, nb = np.array([len(x[2]) for x in left]), np.array([len(x[2]) for x in other])
-    small, large = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
-    alive = 100 * small >= percent * large
-    if right is None:
-        alive &= np.arange(len(left))[:, None] < np.arange(len(left))
-    i, j = np.nonzero(alive)
-    same = np.zeros(len(i), np.int64)
-    done = 0
-    for n, need in least_matches(percent / 100, miss, batch):
-        same += (a[i, done:n] == b[j, done:n]).sum(1)
+def passing(mine: np.ndarray, theirs: np.ndarray, threshold: float, miss: float, batch: int = 24) -> np.ndarray:
+    """Places of the rows whose pair of signatures survives every batch of the sequential test."""
+    at, same, done = np.arange(len(mine)), np.zeros(len(mine), np.int64), 0
+    for n, need in least_matches(threshold, miss, batch):
+        same += (mine[at, done:n] == theirs[at, done:n]).sum(1)
         go = same >= need
-        i, j, same, done = i[go], j[go], same[go], n
-    forest, out = Forest(), []
-    for k in np.argsort(-same, kind="stable").tolist():
-        (u, _, x), (v, _, y) = left[i[k]], other[j[k]]
-        if u == v or forest.find(u) == forest.find(v):
-            continue
-        common = len(x) + len(y) - len(np.union1d(x, y))
-        if 100 * common >= percent * (len(x) + len(y) - common):
-            forest.join(u, v)
-            out.append((min(u, v), max(u, v)))
-    return out
+        at, same, done = at[go], same[go], n
+    return at
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted, distinct) have a similarity of at least percent / 100."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -170,72 +165,196 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int, miss: float) -> DataFrame:
-    """(src, dst) that span the links within clusters (node, cluster), nodes being doc_ids."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # By sorting and merging at every size: the members' table grows with the corpus and is never broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("merge"), "node")
+def spread_join(left: DataFrame, key: str, right: DataFrame, salted_by: str) -> DataFrame:
+    """left joined with right (one row to a key), where some keys may have very many rows of left: these are dealt over salts, and
+    right's row goes to the salts that occur."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(dealt.select(key, "_salt").distinct().join(right, key), [key, "_salt"]).drop("_salt")
+
+
+def arrays(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def features_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sig and hashes (binary) of the documents whose doc_id is in nodes (node)."""
+    # By sorting and merging at every size: the nodes' table grows with the corpus and is never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingles(words_of(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("cluster", "blocks", "block", "node")), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["cluster", "blocks", "block", "node", "sig", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "sig", "hashes"])
+
+    return texts.mapInArrow(run, "node long, sig binary, hashes binary")
+
+
+def parts_of(spark: SparkSession) -> int:
+    """A number of partitions that is asked for by name, so that small ones that take long are not put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    described = texts.select("cluster", "blocks", "block", "node", "text").mapInArrow(features, "cluster long, blocks int, block int, node long, sig binary, hashes binary")
-    met = described.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["cluster", "one", "two"]
-    dealt = met.select("cluster", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("two"), "block", "node", "sig", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+
+def star_links(stars: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
+    """stars (first, node): the pairs that are linked, as (src, dst). Members come to their first one's features salt by salt, and
+    pass by it a batch at a time."""
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    member = stars.join(features, "node").select("first", "salt", F.lit(1).alias("side"), "node", "sig", "hashes")
+    heads = stars.select("first", "salt").distinct().join(features.withColumnRenamed("node", "first"), "first").select("first", "salt", F.lit(0).alias("side"), F.col("first").alias("node"), "sig", "hashes")
+    dealt = heads.unionByName(member).repartition(parts_of(stars.sparkSession), "first", "salt").sortWithinPartitions("first", "salt", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, salt, side, node = (batch.column(c).to_numpy() for c in ("first", "salt", "side", "node"))
+            sigs, sets, out = np.array(arrays(batch, "sig", np.uint32)), arrays(batch, "hashes", np.uint64), []
+            cuts = [0, *(np.flatnonzero((first[1:] != first[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(first)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if (first[i], salt[i]) != at:
+                    at, heads = (first[i], salt[i]), []
+                k = i + int((side[i:j] == 0).sum())
+                heads += [(sigs[m].copy(), sets[m].copy()) for m in range(i, k)]
+                for sig, own in heads:
+                    for m in (k + passing(sigs[k:j], np.broadcast_to(sig, (j - k, SIZE)), percent / 100, miss)).tolist():
+                        if linked(own, sets[m], percent):
+                            out.append((int(first[m]), int(node[m])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
+
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def survivors(members: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
+    """members (key, node, label): pairs of one key and different labels that survive the test of their signatures, as
+    (key, one, two, a, b, la, lb). Large keys are cut into blocks, compared two by two (one, two). Pairs that share
+    several bands are compared in the first of them that both are members of."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = spread_join(members, "key", sizes, "node").join(features.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["key", "one", "two"]
+    met = met.select("key", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("two"), "block", "node", "label", "sig")
+    dealt = met.repartition(parts_of(members.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in (*keys, "block", "node", "sig", "hashes")), strict=True)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (_, one, two), own in groupby(rows(batches), key=lambda r: r[:3]):
-            sides = {one: {}, two: {}}
-            for *_, block, node, sig, hashes in own:
-                sides[block][node, hashes] = (node, np.frombuffer(sig, np.uint32), np.frombuffer(hashes, np.uint64))
-            left = list(sides[one].values())
-            right = None if one == two else list(sides[two].values())
-            if len(left) > (right is None) and (right is None or right):
-                out += links(left, right, percent, miss)
-            if len(out) > 10_000:
+            yield from zip(*(batch.column(c).to_pylist() for c in (*keys, "block", "node", "label", "sig")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, one, two), own in groupby(rows(batches), key=lambda r: r[:3]):
+            own = list(own)  # of two blocks
+            block, node, label = (np.array([r[k] for r in own], np.int64) for k in (3, 4, 5))
+            sig = np.array([np.frombuffer(r[6], np.uint32) for r in own])
+            left = np.flatnonzero(block == one)
+            right = left if one == two else np.flatnonzero(block == two)
+            for some in np.array_split(left, max(1, len(left) // 64)):
+                differ = label[some][:, None] != label[right]
+                if one == two:
+                    differ &= node[some][:, None] < node[right]
+                i, j = np.nonzero(differ)
+                i, j = some[i], right[j]
+                ok = passing(sig[i], sig[j], percent / 100, miss)
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                # Bands are tried in the order of their numbers; what an earlier one holds both of, it has compared.
+                shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2)
+                first = np.where(shared.any(1), shared.argmax(1), -1)  # none, if the key is that of another text of the document
+                new = np.fromiter((k < 0 or band_key(sig[x], k) == key for x, k in zip(i.tolist(), first.tolist(), strict=True)), bool, len(i))
+                i, j = i[new], j[new]
+                if len(i):
+                    columns = [np.full(len(i), v) for v in (key, one, two)] + [node[i], node[j], label[i], label[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*keys, "a", "b", "la", "lb"])
+
+    return dealt.mapInArrow(run, "key long, one long, two long, a long, b long, la long, lb long")
+
+
+def confirmed(found: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) between labels: pairs of found whose full sets confirm them. The sets of a block pair's survivors come
+    to its pairs, each once; a task leaves out pairs whose labels it has joined already."""
+    keys = ["key", "one", "two"]
+    needed = found.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct().join(features.select("node", "hashes"), "node")
+    left = needed.select(*keys, F.lit(0).alias("side"), F.col("node").alias("a"), *(F.lit(0).cast("long").alias(c) for c in ("b", "la", "lb")), "hashes")
+    right = found.select(*keys, F.lit(1).alias("side"), "a", "b", "la", "lb", F.lit(None).cast("binary").alias("hashes"))
+    dealt = left.unionByName(right).repartition(parts_of(found.sparkSession), *keys).sortWithinPartitions(*keys, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, forest = None, {}, Forest()
+        for batch in batches:
+            out = []
+            for *own, side, a, b, la, lb, hashes in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "a", "b", "la", "lb", "hashes")), strict=True):
+                if own != at:
+                    at, sets, forest = own, {}, Forest()
+                if not side:
+                    sets.setdefault(a, []).append(np.frombuffer(hashes, np.uint64))
+                elif forest.find(la) != forest.find(lb) and any(linked(x, y, percent) for x in sets[a] for y in sets[b]):
+                    forest.join(la, lb)
+                    out.append((min(la, lb), max(la, lb)))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
 
-    return dealt.mapInArrow(compare, "src long, dst long")
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def components_of(docs: DataFrame, nodes: DataFrame, bands: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(node, component) of nodes that links join. bands: (node, key), nodes that share a key being candidates."""
+    counts = bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = written(spread_join(bands, "key", counts, "node").select("key", "node", "first"), "shared")
+    features = written(features_of(docs, shared.select("node").distinct()), "features")
+    # Of the least nodes of its buckets, each node is compared with that of most of them.
+    firsts = shared.where(F.col("node") != F.col("first")).groupBy("node", "first").count()
+    stars = firsts.groupBy("node").agg(F.min(F.struct((-F.col("count")).alias("n"), "first")).alias("x")).select("node", F.col("x.first").alias("first"))
+    links = written(star_links(stars, features, percent, miss), "links")
+    # Rows of one doc_id and several texts are one document.
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    again = nodes.select("doc_id", "node").join(several, "doc_id").where("lo < node").select(F.col("lo").alias("src"), F.col("node").alias("dst"))
+    labels = written(connected_components(links.union(again)).withColumnRenamed("component", "label"), "labels")
+    # What shares a bucket and is not yet joined is compared, all with all.
+    labelled = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    found = written(survivors(spread_join(labelled, "key", mixed, "node"), features, percent, miss), "survivors")
+    late = written(connected_components(confirmed(found, features, percent)).select(F.col("node").alias("label"), "component"), "late")
+    every = labels.select("node", "label").union(late.select("label", "label")).distinct()
+    return every.join(late, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (it is that document).
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (it is that document).
 
     Null and empty texts have no shingles and no links. Rows that share a doc_id count as one document where texts are
-    compared. A row without a doc_id takes no part: its component is null and it is kept.
+    compared: what one of them is linked with, all are. A row without a doc_id takes no part: its component is null and it is kept.
     """
+    return _components(docs, percent, miss)[1]
+
+
+def _components(docs: DataFrame, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
     found = written(describe(docs), "described")
-    nodes = found.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    least = written(nodes.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
+    known = found.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
+    least = written(known.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
     # One row of keys to a node: the rows whose doc_id stands for their print.
-    own = nodes.join(least.withColumnRenamed("node", "doc_id"), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    own = written(own.dropDuplicates(["node", "key"]), "bands")
-    buckets = own.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    ties = own.join(buckets, "key").where(F.col("node") != F.col("first")).select(F.col("first").alias("src"), F.col("node").alias("dst"))
-    clusters = written(connected_components(ties).withColumnRenamed("component", "cluster"), "clusters")
-    joined = connected_components(confirmed_links(docs, clusters, percent, miss))
+    own = known.join(least.withColumnRenamed("node", "doc_id"), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    named = spread_join(known.select("doc_id", "print"), "print", least, "doc_id").select("doc_id", "node")
+    joined = components_of(docs, named, own.dropDuplicates(["node", "key"]), percent, miss)
     labels = least.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("label"))
-    out = found.select("doc_id", "n_shingles", "print").join(labels, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = found.select("doc_id", "n_shingles", "print")
+    takes_part = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
+    out = spread_join(rows.where(takes_part), "print", labels, "doc_id").select("doc_id", "n_shingles", "label")
+    out = out.unionByName(rows.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("label")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("label"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found, out
 
 
 def drop_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """The documents, with the columns that they have, less those that a smaller doc_id of their component stands for."""
-    gone = near_duplicates(docs, percent, miss).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with the columns that they have, less those that a smaller doc_id of their component stands for. Of rows
+    that share a doc_id one stays, the one whose columns sort first by their hash; rows without a doc_id all stay."""
+    found, marks = _components(docs, percent, miss)
+    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = kept.join(repeated, "doc_id", "left_semi").select(row.alias("row"))
+    one = twice.groupBy("row.doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

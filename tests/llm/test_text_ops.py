@@ -275,7 +275,35 @@ def test_near_duplicates(spark, docs, empty):
     mixed = neardup.near_duplicates(docs).collect()
     assert {(r.doc_id, r.component_id) for r in mixed} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (None, None), (8, 8), (9, 8)} and len(mixed) == 10
     assert neardup.near_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in neardup.drop_duplicates(docs).where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 6, 8]
+    assert sorted(r.doc_id for r in neardup.drop_duplicates(docs).where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 8]
+
+
+def test_near_duplicates_of_templates(spark):
+    """Documents that share half of their shingles are candidates by the thousand, and groups whose least document is linked
+    with few of its members come together all the same."""
+    rng = random.Random(8)
+    half = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(half + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for i in range(500)]
+    chain = [f"c{i}" for i in range(300)]
+    for i in range(40):  # each differs from the one before by a few words, so the ends are far apart
+        chain[7 * i % 300] = f"x{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, " ".join(f"g{rng.randrange(40)}" if rng.random() < 0.012 else f"h{k}" for k in range(150))) for i in range(120)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(table).collect()}
+    want = brute_components(rows)
+    assert out == want
+    assert len({c for i, (_, c) in want.items() if i < 1000}) == 500 and len({c for i, (_, c) in want.items() if 1000 <= i < 2000}) < 5
+
+
+def test_documents_of_several_texts(spark):
+    a, b = ("first text of seven words or so", "and another one that is not like it")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, b + " x y z"), (11, "alone"), (11, "still alone")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (11, 11), (11, 11)]
+    left = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in left) == [3, 9, 11]
 
 
 def test_sequential_test_is_monotone():
