@@ -14,13 +14,14 @@ from orrery.llm.common import fixed_table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: null texts and texts without letters go."""
+    """Documents whose language can be told: null texts, texts without letters and texts that no learned language explains go.
+    Without labels to learn from, only texts without letters go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id."""
-    return neardup.drop_duplicates(docs)
+    """One document of each group of near-duplicates (runs of five words, similarity of 0.8 or more), that with the least doc_id."""
+    return neardup.drop_duplicates(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
