@@ -5,7 +5,7 @@
 2. Nodes that share a band's key (a bucket) are candidates. First each node is compared with one representative only: of
    the least nodes of its buckets, that of most of them. That joins most of a large group of copies at once.
 3. Then all pairs of a bucket that are not joined yet are compared. Large buckets are cut into blocks, and blocks are
-   compared two by two, so that the work is spread; only signatures travel there. They are compared
+   compared two by two, so that the work is spread; only signatures travel there, and not among what is joined. They are compared
    batch by batch; after each, pairs whose posterior probability of the wanted similarity is below the miss
    probability are dropped. The sets of what survives are fetched, and verify it in full.
 4. Components of the links.
@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from orrery.llm.common import slices, small_batches, written
 from orrery.operators.components import connected_components
@@ -165,11 +165,11 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def spread_join(left: DataFrame, key: str, right: DataFrame, salted_by: str) -> DataFrame:
-    """left joined with right (one row to a key), where some keys may have very many rows of left: these are dealt over salts, and
-    right's row goes to the salts that occur."""
+def spread_join(left: DataFrame, keys: list[str], right: DataFrame, salted_by: str) -> DataFrame:
+    """left joined with right (one row to the keys), where some keys may have very many rows of left: these are dealt over salts,
+    and right's row goes to the salts that occur."""
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int"))
-    return dealt.join(dealt.select(key, "_salt").distinct().join(right, key), [key, "_salt"]).drop("_salt")
+    return dealt.join(dealt.select(*keys, "_salt").distinct().join(right, keys), [*keys, "_salt"]).drop("_salt")
 
 
 def arrays(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
@@ -225,81 +225,110 @@ def star_links(stars: DataFrame, features: DataFrame, percent: int, miss: float)
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def survivors(members: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
-    """members (key, node, label): pairs of one key and different labels that survive the test of their signatures, as
-    (key, one, two, a, b, la, lb). Large keys are cut into blocks, compared two by two (one, two). Pairs that share
-    several bands are compared in the first of them that both are members of."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = spread_join(members, "key", sizes, "node").join(features.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["key", "one", "two"]
-    met = met.select("key", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("two"), "block", "node", "label", "sig")
-    dealt = met.repartition(parts_of(members.sparkSession), *keys).sortWithinPartitions(*keys)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+#: A pair of blocks of a bucket.
+MEETING = ["key", "one", "two"]
+
+
+def met_blocks(members: DataFrame) -> DataFrame:
+    """members (key, node, label), as often as their block meets another one of its key: key, one, two, block, node, label.
+
+    Members of a label of BLOCK members or more have blocks of their own, which never meet one another, since they
+    are joined; members of smaller labels share blocks. So what is compared is what is not yet joined.
+    """
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("pool", F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).over(W.partitionBy("key")))
+    own = F.when(F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("pool") / BLOCK)).cast("int")
+    sizes = sizes.select("key", "label", own.alias("blocks"), (F.col("n") >= BLOCK).alias("large"))
+    name = lambda label, i: F.concat_ws(":", label, i.cast("string"))
+    of = F.when(F.col("large"), F.col("label").cast("string")).otherwise(F.lit("few"))
+    listed = sizes.select("key", of.alias("of"), "blocks").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "of", name(F.col("of"), F.col("i")).alias("block"))
+    one, two = listed.select("key", F.col("of").alias("of_one"), F.col("block").alias("one")), listed.select("key", F.col("of").alias("of_two"), F.col("block").alias("two"))
+    pairs = one.join(two, "key").where((F.col("one") <= F.col("two")) & ((F.col("of_one") != F.col("of_two")) | (F.col("of_one") == "few"))).select(*MEETING)
+    meets = pairs.select(*MEETING, F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    nth = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("label"), F.col("blocks")))
+    placed = spread_join(members, ["key", "label"], sizes, "node").select("key", "node", "label", name(of, nth).alias("block"))
+    return placed.join(meets, ["key", "block"]).select(*MEETING, "block", "node", "label")
+
+
+def meetings(rows: DataFrame, each, columns: list[str], schema: str) -> DataFrame:
+    """each(key, one, two, rows of the meeting with the columns) for every pair of blocks, its batches as one table."""
+    dealt = rows.select(*MEETING, *columns).repartition(parts_of(rows.sparkSession), *MEETING).sortWithinPartitions(*MEETING)
+
+    def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in (*keys, "block", "node", "label", "sig")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in (*MEETING, *columns)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, one, two), own in groupby(rows(batches), key=lambda r: r[:3]):
-            own = list(own)  # of two blocks
-            block, node, label = (np.array([r[k] for r in own], np.int64) for k in (3, 4, 5))
-            sig = np.array([np.frombuffer(r[6], np.uint32) for r in own])
-            left = np.flatnonzero(block == one)
-            right = left if one == two else np.flatnonzero(block == two)
-            for some in np.array_split(left, max(1, len(left) // 64)):
-                differ = label[some][:, None] != label[right]
-                if one == two:
-                    differ &= node[some][:, None] < node[right]
-                i, j = np.nonzero(differ)
-                i, j = some[i], right[j]
-                ok = passing(sig[i], sig[j], percent / 100, miss)
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                # Bands are tried in the order of their numbers; what an earlier one holds both of, it has compared.
-                shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2)
-                first = np.where(shared.any(1), shared.argmax(1), -1)  # none, if the key is that of another text of the document
-                new = np.fromiter((k < 0 or band_key(sig[x], k) == key for x, k in zip(i.tolist(), first.tolist(), strict=True)), bool, len(i))
-                i, j = i[new], j[new]
-                if len(i):
-                    columns = [np.full(len(i), v) for v in (key, one, two)] + [node[i], node[j], label[i], label[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*keys, "a", "b", "la", "lb"])
-
-    return dealt.mapInArrow(run, "key long, one long, two long, a long, b long, la long, lb long")
-
-
-def confirmed(found: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) between labels: pairs of found whose full sets confirm them. The sets of a block pair's survivors come
-    to its pairs, each once; a task leaves out pairs whose labels it has joined already."""
-    keys = ["key", "one", "two"]
-    needed = found.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct().join(features.select("node", "hashes"), "node")
-    left = needed.select(*keys, F.lit(0).alias("side"), F.col("node").alias("a"), *(F.lit(0).cast("long").alias(c) for c in ("b", "la", "lb")), "hashes")
-    right = found.select(*keys, F.lit(1).alias("side"), "a", "b", "la", "lb", F.lit(None).cast("binary").alias("hashes"))
-    dealt = left.unionByName(right).repartition(parts_of(found.sparkSession), *keys).sortWithinPartitions(*keys, "side")
+        for meeting, own in groupby(tuples(batches), key=lambda r: r[:3]):
+            if (out := each(*meeting, [r[3:] for r in own])) is not None:
+                yield out
+
+    return dealt.mapInArrow(run, schema)
+
+
+def candidates(key: int, one: str, two: str, block: list[str], node: np.ndarray, label: np.ndarray, sig: np.ndarray, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of the two blocks that have different labels and survive the test. Pairs that share several bands
+    belong to the first of them."""
+    side = np.array([b == one for b in block])
+    left = np.flatnonzero(side)
+    right = left if one == two else np.flatnonzero(~side)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for some in np.array_split(left, max(1, len(left) // 64)):
+        differ = label[some][:, None] != label[right]
+        if one == two:
+            differ &= node[some][:, None] < node[right]
+        i, j = np.nonzero(differ)
+        i, j = some[i], right[j]
+        ok = passing(sig[i], sig[j], percent / 100, miss)
+        i, j = i[ok], j[ok]
+        shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2)
+        first = np.where(shared.any(1), shared.argmax(1), -1) if len(i) else i  # none, if the key is that of another text of the document
+        here = np.fromiter((k < 0 or band_key(sig[x], k) == key for x, k in zip(i.tolist(), first.tolist(), strict=True)), bool, len(i))
+        found.append((i[here], j[here]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets, forest = None, {}, Forest()
-        for batch in batches:
-            out = []
-            for *own, side, a, b, la, lb, hashes in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "a", "b", "la", "lb", "hashes")), strict=True):
-                if own != at:
-                    at, sets, forest = own, {}, Forest()
-                if not side:
-                    sets.setdefault(a, []).append(np.frombuffer(hashes, np.uint64))
-                elif forest.find(la) != forest.find(lb) and any(linked(x, y, percent) for x in sets[a] for y in sets[b]):
-                    forest.join(la, lb)
-                    out.append((min(la, lb), max(la, lb)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
 
-    return dealt.mapInArrow(run, "src long, dst long")
+def survivors(members: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
+    """members (key, node, label): what of them has a pair, with another label, that survives the test of signatures, as
+    (key, one, two, block, node, label)."""
+
+    def each(key: int, one: str, two: str, own: list[tuple]) -> pa.RecordBatch | None:
+        block, node, label, sig = zip(*own, strict=True)
+        i, j = candidates(key, one, two, block, np.array(node), np.array(label), np.array([np.frombuffer(x, np.uint32) for x in sig]), percent, miss)
+        some = np.unique(np.concatenate((i, j))).tolist()
+        if not some:
+            return None
+        columns = [[key] * len(some), [one] * len(some), [two] * len(some), *([x[k] for k in some] for x in (block, node, label))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[*MEETING, "block", "node", "label"])
+
+    rows = met_blocks(members).join(features.select("node", "sig"), "node")
+    return meetings(rows, each, ["block", "node", "label", "sig"], "key long, one string, two string, block string, node long, label long")
+
+
+def confirmed(found: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (src, dst) between labels: the pairs of survivors that their full sets confirm. Likely ones come first, and
+    pairs whose labels a meeting has joined already are left out."""
+
+    def each(key: int, one: str, two: str, own: list[tuple]) -> pa.RecordBatch | None:
+        block, node, label, sig, hashes = zip(*own, strict=True)
+        sig, sets = np.array([np.frombuffer(x, np.uint32) for x in sig]), [np.frombuffer(x, np.uint64) for x in hashes]
+        i, j = candidates(key, one, two, block, np.array(node), np.array(label), sig, percent, miss)
+        forest, out = Forest(), []
+        same = np.concatenate([(sig[a] == sig[b]).sum(1) for a, b in zip(np.array_split(i, len(i) // 4096 + 1), np.array_split(j, len(j) // 4096 + 1), strict=True)])
+        for k in np.argsort(-same, kind="stable").tolist():
+            a, b = int(i[k]), int(j[k])
+            if forest.find(label[a]) != forest.find(label[b]) and linked(sets[a], sets[b], percent):
+                forest.join(label[a], label[b])
+                out.append((label[a], label[b]))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"]) if out else None
+
+    return meetings(found.join(features, "node"), each, ["block", "node", "label", "sig", "hashes"], "src long, dst long")
 
 
 def components_of(docs: DataFrame, nodes: DataFrame, bands: DataFrame, percent: int, miss: float) -> DataFrame:
     """(node, component) of nodes that links join. bands: (node, key), nodes that share a key being candidates."""
     counts = bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = written(spread_join(bands, "key", counts, "node").select("key", "node", "first"), "shared")
+    shared = written(spread_join(bands, ["key"], counts, "node").select("key", "node", "first"), "shared")
     features = written(features_of(docs, shared.select("node").distinct()), "features")
     # Of the least nodes of its buckets, each node is compared with that of most of them.
     firsts = shared.where(F.col("node") != F.col("first")).groupBy("node", "first").count()
@@ -312,8 +341,8 @@ def components_of(docs: DataFrame, nodes: DataFrame, bands: DataFrame, percent:
     # What shares a bucket and is not yet joined is compared, all with all.
     labelled = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    found = written(survivors(spread_join(labelled, "key", mixed, "node"), features, percent, miss), "survivors")
-    late = written(connected_components(confirmed(found, features, percent)).select(F.col("node").alias("label"), "component"), "late")
+    found = written(survivors(spread_join(labelled, ["key"], mixed, "node"), features, percent, miss), "survivors")
+    late = written(connected_components(confirmed(found, features, percent, miss)).select(F.col("node").alias("label"), "component"), "late")
     every = labels.select("node", "label").union(late.select("label", "label")).distinct()
     return every.join(late, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
@@ -333,12 +362,12 @@ def _components(docs: DataFrame, percent: int, miss: float) -> tuple[DataFrame,
     least = written(known.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
     # One row of keys to a node: the rows whose doc_id stands for their print.
     own = known.join(least.withColumnRenamed("node", "doc_id"), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    named = spread_join(known.select("doc_id", "print"), "print", least, "doc_id").select("doc_id", "node")
+    named = spread_join(known.select("doc_id", "print"), ["print"], least, "doc_id").select("doc_id", "node")
     joined = components_of(docs, named, own.dropDuplicates(["node", "key"]), percent, miss)
     labels = least.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("label"))
     rows = found.select("doc_id", "n_shingles", "print")
     takes_part = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
-    out = spread_join(rows.where(takes_part), "print", labels, "doc_id").select("doc_id", "n_shingles", "label")
+    out = spread_join(rows.where(takes_part), ["print"], labels, "doc_id").select("doc_id", "n_shingles", "label")
     out = out.unionByName(rows.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("label")))
     component = F.when(F.col("doc_id").isNotNull(), F.col("label"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
