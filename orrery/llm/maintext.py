@@ -14,7 +14,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ NAMES = {
 }
 _GROUP = {name: group for group, names in NAMES.items() for name in names.split()}
 TAGS = "html body main article section div p h1 h2 h3 ul ol li table td blockquote pre figure nav header footer aside form dialog dl dd address details".split()
-FEATURES = ["bias", *(f"tag:{t}" for t in TAGS), "tag:other", *(f"name:{g}" for g in NAMES), "hidden", "chars", "linked", "linked>half", "block", "block:chars", "block:short", "block:linked", "block:all linked", "block:sentence", "block:mark", "in:list"]
+FEATURES = ["bias", *(f"tag:{t}" for t in TAGS), "tag:other", *(f"name:{g}" for g in NAMES), "hidden", "chars", "share", "share>third", "linked", "linked>half", "block", "block:chars", "block:sentences", "block:short", "block:linked", "block:all linked", "block:sentence", "block:mark", "in:list"]
 PLACE = {name: i for i, name in enumerate(FEATURES)}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Kinds of edges, by the child: block, paragraph or heading, other element.
@@ -67,12 +67,30 @@ class Forest:
         bounds = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2))
         self.levels = [order[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         self.kind = np.array([0 if n.text is not None else 1 if n.name in ("p", "h1", "h2", "h3", "li") else 2 for n in nodes], np.int64)
-        self.x = np.zeros((len(nodes), len(FEATURES)))
-        for i, n in enumerate(nodes):
-            self.describe(self.x[i], n, nodes[self.parent[i]] if self.parent[i] >= 0 else None)
+        self.nodes = nodes
+        self.total = np.repeat([page[0].chars for page in pages], [len(p) for p in pages]) if pages else np.zeros(0, np.int64)
+
+    def features(self, a: int, b: int) -> np.ndarray:
+        """Rows of features of the nodes from a to b."""
+        x = np.zeros((b - a, len(FEATURES)))
+        for row, n, p, most in zip(x, self.nodes[a:b], self.parent[a:b].tolist(), self.total[a:b].tolist(), strict=True):
+            self.describe(row, n, self.nodes[p] if p >= 0 else None, most)
+        return x
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        """Features of all nodes: for training, where they are needed again and again."""
+        return self.features(0, len(self.nodes))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The features' products with w, a few nodes at a time: a page may have millions."""
+        if "x" in self.__dict__:
+            return self.x @ w
+        return np.concatenate([np.zeros(0), *(self.features(i, min(i + 4096, len(self.nodes))) @ w for i in range(0, len(self.nodes), 4096))])
 
     @staticmethod
-    def describe(x: np.ndarray, n: Element, parent: Element | None) -> None:
+    def describe(x: np.ndarray, n: Element, parent: Element | None, most: int) -> None:
+        """most: characters of the page."""
         x[0] = 1
         share = n.linked / n.chars if n.chars else 0.0
         if n.text is None:
@@ -80,11 +98,13 @@ class Forest:
             if n.attrs:
                 x[list(named(n.attrs))] = 1
             x[PLACE["chars"]] = min(1.0, np.log1p(n.chars) / 8)
+            x[PLACE["share"]], x[PLACE["share>third"]] = n.chars / max(1, most), 3 * n.chars > most
             x[PLACE["linked"]], x[PLACE["linked>half"]] = share, share > 0.5
             return
         x[PLACE["block"]], x[PLACE["block:chars"]], x[PLACE["block:short"]] = 1, min(1.0, np.log1p(n.chars) / 8), n.chars < 40
         x[PLACE["block:linked"]], x[PLACE["block:all linked"]] = share, share > 0.9
         x[PLACE["block:sentence"]] = n.text[-1] in ".!?…。\"”'" or ". " in n.text
+        x[PLACE["block:sentences"]] = min(3, n.text.count(". "))
         x[PLACE["block:mark"]] = any(c in n.text for c in "©®»›")
         x[PLACE["in:list"]] = parent is not None and parent.name == "li"
 
@@ -97,7 +117,7 @@ class TreeModel:
         """Marginals of content of every node, and of (parent, child) states of every edge."""
         n = len(f.parent)
         up = np.zeros((n, 2))
-        up[:, 1] = f.x @ self.w
+        up[:, 1] = f.scores(self.w)
         sent, down, edges = np.zeros((n, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2))
         for level in f.levels[:0:-1]:
             t = self.pair[f.kind[level]] + up[level][:, None, :]
@@ -117,7 +137,7 @@ class TreeModel:
         inner = f.parent >= 0
         seen = np.zeros((EDGES, 2, 2))
         np.add.at(seen, (f.kind[inner], y[f.parent[inner]], y[inner]), 1)
-        at, n = f.x.T @ y, len(y)
+        at, n = f.x.T @ y, len(y)  # from here on f keeps its features
         params = [self.w, self.pair]
         m, v = [0 * p for p in params], [0 * p for p in params]
         for t in range(1, steps + 1):
@@ -133,8 +153,27 @@ class TreeModel:
 CONTENT = "⁣"
 
 
-def labelled_pages(n: int, seed: int) -> list[str]:
-    """Pages in random layouts, with CONTENT in every block of the article."""
+#: Names that pages give their parts and that no feature knows.
+STRANGE = {
+    "body": "richtext hentry copyblock longform bodycopy storypane inhalt texte",
+    "menu": "drawer rubriken sections burger toplinks jump",
+    "head": "crown marquee kopf entete topline",
+    "foot": "fuss pied baseline endmatter imprint",
+    "side": "rechts gutter outer companion extras satellite",
+    "ad": "anzeige publicite werbung billboard leaderboard outbrain",
+    "notice": "hinweis bandeau snackbar interstitial privacy",
+    "talk": "kommentare avis feedback forum echo",
+    "form": "formular abo mailing anmeldung",
+    "share": "teilen partager spread socials",
+}
+
+
+def labelled_pages(n: int, seed: int, known: float = 0.5) -> list[str]:
+    """Pages in random layouts, with CONTENT in every block of the article.
+
+    Of the parts that have a name, the share `known` have one that the features know; the others have one of STRANGE, or
+    a made-up one, so that the model has to go by elements, texts, links and neighbours.
+    """
     rng = random.Random(seed)
     syllables = "ka to ri mel san der ou en la schi tion ber ge pa é vin lo ra nt est".split()
 
@@ -147,12 +186,15 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     def words(a: int, b: int) -> str:
         return " ".join(word() for _ in range(rng.randint(a, b)))
 
+    def a_name(kind: str) -> str:
+        return rng.choice(NAMES[kind].split()) if rng.random() < known else rng.choice([rng.choice(STRANGE[kind].split()), word() + rng.choice(["", "-2", "_a"])])
+
     def div(kind: str, inner: str, tag: str | None = None) -> str:
         """A part by its element, or a div with a telling name."""
         if tag and rng.random() < 0.5:
             return f"<{tag}>{inner}</{tag}>"
         attr = rng.choice(["class", "id", "class"])
-        name = rng.choice(NAMES[kind].split())
+        name = a_name(kind)
         own = rng.choice([tag, "div", "section"]) if tag else "div"
         return f'<{own} {attr}="{rng.choice(["", "site-", "page ", "l-", "my_"])}{name}">{inner}</{own}>'
 
@@ -193,8 +235,8 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     out = []
     for _ in range(n):
         title = words(3, 9) if rng.random() < 0.85 else words(20, 90)
-        article = [block(rng.choice(["h1", "h1", "h2"]), title)] if rng.random() < 0.85 else [paragraph()]
-        brief = rng.random() < 0.15
+        article = [block(rng.choice(["h1", "h1", "h2"]), title)] if rng.random() < 0.7 else [paragraph()]
+        brief = rng.random() < 0.2
         for _ in range(rng.choice([0, 1, 2, 3, 6, 10, 20])):
             if brief:
                 article.append(block("p", words(1, 3).capitalize() + "."))
@@ -205,7 +247,7 @@ def labelled_pages(n: int, seed: int) -> list[str]:
         if rng.random() < 0.15:
             article.append(comments())
         body = "".join(article)
-        body = rng.choice([lambda: f"<article>{body}</article>"] * 3 + [lambda: f"<main><article>{body}</article></main>", lambda: f"<main>{body}</main>", lambda: f'<div class="{rng.choice(NAMES["body"].split())}">{body}</div>', lambda: f'<div id="main"><div class="post-content">{body}</div></div>', lambda: f"<main><div>{body}</div></main>", lambda: body])()
+        body = rng.choice([lambda: f"<article>{body}</article>"] * 5 + [lambda: f'<div class="{a_name("body")}">{body}</div>'] * 3 + [lambda: f"<main><article>{body}</article></main>", lambda: f"<main>{body}</main>", lambda: f'<div class="{a_name("body")}">{body}</div>', lambda: f'<div id="{a_name("body")}"><div class="x-{a_name("body")}">{body}</div></div>', lambda: f"<main><div>{body}</div></main>", lambda: body])()
         top = [div("head", rng.choice([f"<h1>{words(1, 3)}</h1>", f"<p>{words(1, 4)}</p>", words(1, 4)]) + rng.choice(["", links(4)]), "header")] if rng.random() < 0.6 else []
         top += [junk() for _ in range(rng.randint(0, 3))]
         end = [junk() for _ in range(rng.randint(0, 2))] + ([comments()] if rng.random() < 0.3 else [])
@@ -239,7 +281,7 @@ def labelled_forest(pages: list[str]) -> tuple[Forest, np.ndarray]:
 
 
 @lru_cache(1)
-def trained(pages: int = 600, seed: int = 1) -> TreeModel:
+def trained(pages: int = 1000, seed: int = 1) -> TreeModel:
     model = TreeModel()
     model.train(*labelled_forest(labelled_pages(pages, seed)))
     return model
@@ -257,9 +299,10 @@ def extract(pages: list[str], model: TreeModel) -> list[list[str]]:
 
 
 def main_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
-    """Per page: page_id, url, text (blocks joined by an empty line; empty if there are none) and n_chars.
+    """Per row, repeated ones too: page_id, url, text (blocks joined by an empty line; empty if there are none) and n_chars.
 
-    Whole pages are read; null html counts as empty. Rows are independent: no shuffle.
+    Whole pages are read, however long or deep; null html counts as empty, null ids and urls stay null, other columns are
+    not read, and an empty table has an empty answer. Rows are independent: no shuffle.
     """
     spark = pages.sparkSession
     small_batches(spark)

@@ -1,6 +1,9 @@
 """Searches against brute force, archives and pages against known answers."""
 
 import hashlib
+import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -166,25 +169,123 @@ def test_messages_are_exact():
     assert np.allclose(model.messages(forest)[0], on / total)
 
 
-def test_main_text_held_out():
+@pytest.mark.parametrize("known", [1.0, 0.5, 0.0])
+def test_main_text_held_out(known):
+    """Pages of another seed; at 0 no part has a name that a feature knows."""
     model = maintext.trained()
-    forest, labels = maintext.labelled_forest(maintext.labelled_pages(150, 99))
+    forest, labels = maintext.labelled_forest(maintext.labelled_pages(150, 99, known))
     node, _ = model.messages(forest)
     blocks = forest.kind == 0
     assert ((node > 0.5) == labels)[blocks].mean() > 0.97
 
 
+class Blocks(HTMLParser):
+    """Texts between block tags, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.parts = [], []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "article", "ul", "li", "div", "blockquote", "table", "tr", "td", "pre"):
+            self.flush()
+        elif tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "span"):
+            self.flush()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
 def test_main_text(spark, sf):
     table = spark.read.parquet(f"{sf}/pages.parquet")
     out = {r.page_id: r for r in maintext.main_text(table).collect()}
     for r in table.collect():
-        article = [n.text for n in htmltree.parse(r.html[r.html.index("<article>") : r.html.index("</article>")]) if n.text]
-        assert out[r.page_id].text == "\n\n".join(article) and out[r.page_id].n_chars == len("\n\n".join(article))
-    odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>"), (2, "u", "<p>")], "page_id long, url string, html string")
+        article = "\n\n".join(Blocks(r.html[r.html.index("<article>") : r.html.index("</article>")]).out)
+        assert out[r.page_id].text == article and out[r.page_id].n_chars == len(article)
+    odd = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 2), (2, "u", "<p>", 3), (2, "u", "<p>", 3)], "page_id long, url string, html string, text int").selectExpr("*", "1 n_chars")
     assert [r.text for r in maintext.main_text(odd).collect()] == [""] * 4
     assert maintext.main_text(odd.where("page_id > 5")).count() == 0
 
 
+#: Pages written by hand, and what a reader would call their text.
+BY_HAND = [
+    (
+        """<html><head><title>T</title><script>x = "<p>no</p>"</script></head><body><header class="crown"><a href=/>Home</a> <a href=/n>News</a></header>
+        <div class="qx-71"><h1>Storm over the bay</h1><p>The storm came in at noon, and by three the harbour was closed. Nobody was hurt.</p>
+        <p>Let <math><mi>x</mi></math> be the <button>key</button> of&nbsp;it: A &lt; B &amp; C, as we said in an <a href="/o">older report</a> on the same storm.</p>
+        <ul><li>Boats were moved to the inner basin on Monday evening.</li><li>The ferry runs again from Friday.</li></ul></div>
+        <footer><p>&copy; 2024 Bay Press. All rights reserved.</p></footer></body></html>""",
+        ["Storm over the bay", "The storm came in at noon, and by three the harbour was closed. Nobody was hurt.", "Let x be the key of it: A < B & C, as we said in an older report on the same storm.", "Boats were moved to the inner basin on Monday evening.", "The ferry runs again from Friday."],
+    ),
+    (
+        """<body><nav><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></nav><main><article><h2>How to bake bread</h2>
+        <p>Mix flour, water, salt and yeast.<br>Wait for an hour, then fold the dough twice.<p>Bake it at a high heat for forty minutes. Let it cool before you cut it.
+        <blockquote>Good bread takes time, my grandmother used to say.</blockquote></article>
+        <aside><h3>Related</h3><ul><li><a href=d>Cakes for beginners</a><li><a href=e>Ten soups</a></ul></aside></main>
+        <section id="comments"><h3>Comments</h3><div class="comment"><p>Great, thank you! It worked.</p></div><div class="comment"><p>Mine burnt.</p></div></section>
+        <form action=/s><label>Search</label><input name=q><select><option>All<option>News</select></form></body>""",
+        ["How to bake bread", "Mix flour, water, salt and yeast. Wait for an hour, then fold the dough twice.", "Bake it at a high heat for forty minutes. Let it cool before you cut it.", "Good bread takes time, my grandmother used to say."],
+    ),
+    (
+        """<div class="cookie-banner"><p>We use cookies. Accept them?</p><button>OK</button></div><div class="page"><div class="ad"><a href=/buy>Buy two, pay one</a></div>
+        <div class="article-body"><p>Prices rose by two percent in May, the office said. Food was dearer, fuel was not.</p><div class="share"><a href=t>Share</a> <a href=m>Mail</a></div>
+        <p>Rents went up most in the cities, where few flats are built. Wages rose by three percent.</p></div></div><div class="footer">Imprint | Contact</div>""",
+        ["Prices rose by two percent in May, the office said. Food was dearer, fuel was not.", "Rents went up most in the cities, where few flats are built. Wages rose by three percent."],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, text", BY_HAND)
+def test_pages_by_hand(page, text):
+    assert maintext.extract([page], maintext.trained()) == [text]
+
+
+@pytest.mark.parametrize("part", ["<a b=c ", '<a "', "<a '\"", "</x", "<", "<!", "<li>", "<p>x", "<section><p></table>", "<b></i>"])
+def test_long_broken_pages(part):
+    began = time.time()
+    htmltree.parse(part * (1_000_000 // len(part)))
+    assert time.time() - began < 10  # quadratic ones would take minutes
+
+
+def test_deep_pages():
+    page = "<div>" * 3000 + "<p>Deep down there is a sentence, and another one.</p>" + "</p></div>" * 3000 + "<p>last"
+    tree = htmltree.parse(page)
+    assert max(n.depth for n in tree) == 3003 and [n.text for n in tree if n.text] == ["Deep down there is a sentence, and another one.", "last"]
+    assert [n.parent for n in tree if n.text == "last"] == [len(tree) - 2] and tree[-2].parent == 1
+
+
+def test_ends_of_tags():
+    """At the first > outside quotes, else at the first, against a reader of single characters."""
+
+    def brute(page, at):
+        quote = None
+        for i in range(at, len(page)):
+            if quote is None and page[i] == ">":
+                return i
+            quote = (page[i] if page[i] in "\"'" else None) if quote is None else None if page[i] == quote else quote
+        return page.find(">", at)
+
+    rng = random.Random(6)
+    for _ in range(2000):
+        page = "".join(rng.choice("ab>\"'") if rng.random() < 0.7 else "x" for _ in range(rng.randint(0, 25)))
+        ends = htmltree.TagEnds(page)
+        for at in sorted(rng.sample(range(len(page) + 1), min(5, len(page) + 1))):
+            assert ends.find(at) == brute(page, at)
+        assert len(ends.failed) <= 3
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql(spark, sf, name):
     compare(connect(sf), catalog.oracle_sql()[name], catalog.queries()[name](spark, sf))
