@@ -11,7 +11,7 @@ and open elements are found by name.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -48,7 +48,7 @@ class TagEnds:
     def find(self, at: int) -> int:
         """The place of the > that ends a tag with something at `at`; -1 if no > follows."""
         for opened, closed in self.failed:
-            i = bisect_right(opened, at) - 1
+            i = bisect_left(opened, at) - 1
             if i < 0 or at > closed[i]:
                 return self.page.find(">", at)
         opened, closed, pos = [], [], at

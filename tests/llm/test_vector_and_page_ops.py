@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -144,6 +145,14 @@ def test_warc(spark, sf):
     assert {i for i, r in out.items() if r.record_type == "response"} == {2, 3, 4, 6, 7, 8, 10}
     assert out[1].payload_bytes == 1200 and out[1].payload_digest == hashlib.sha1(big.encode()).hexdigest() and out[2].payload.decode() == big and out[6].payload_bytes == 0
     assert out[1].url == "http://a/x%0D%0Ay" and out[2].url is None
+    pairs = spark.createDataFrame([(i, f"http://h/{i}", "z" * 2000) for i in range(1, 4)] + [(3, "http://h/3b", "z" * 2000)], "page_id long, url string, html string")
+    folder, listed = warc.write_archives(pairs, date="2020-02-03T04:05:06Z")
+    whole = [(f, b) for path in sorted(Path(folder.removeprefix("file://")).glob("*.warc.gz")) for f, b in warc.records(path.read_bytes())]
+    assert {f["warc-date"] for f, _ in whole} == {"2020-02-03T04:05:06Z"} and sum(f["warc-type"] == "warcinfo" for f, _ in whole) == listed.count()
+    assert all(f["warc-block-digest"] == warc.sha1_label(b) for f, b in whole)
+    again = [f for f, _ in whole if f["warc-type"] == "revisit"]
+    assert [(f["x-page-id"], f["warc-refers-to-target-uri"], f["warc-refers-to-date"]) for f in sorted(again, key=lambda f: f["x-page-id"])] == [(i, "http://h/3b", "2020-02-03T04:05:06Z") for i in "12"]
+    assert {f["warc-refers-to"] for f in again} == {f["warc-record-id"] for f, _ in whole if f.get("x-page-id") == "3"}
     folder, listed = warc.write_archives(pages.where("page_id < 0"))
     assert warc.read_archives(folder, listed).count() == 0
 
