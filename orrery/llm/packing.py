@@ -225,13 +225,13 @@ class Places:
         return sequence, offset
 
 
-def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Whole texts (null: empty) as ids by the tokenizers library, end_id after each; documents of more than
     `capacity` ids are cut. Per piece: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library(path, False), np.array([end_id], "<u4").tobytes()
+        encoder, end = library(path, False, special_as_text), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -278,11 +278,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, effort: int = 2_000_000) -> Da
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, special_as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents packed into sequences: the written table of pieces with their ids (a piece is read again when a
     sequence is laid out), and the placement of each piece without its ids but with their unsigned crc32.
 
-    Null texts are empty documents of one id, the end; repeated rows are packed as often as they come.
+    Null texts are empty documents of one id, the end; repeated rows are packed as often as they come; a null doc_id is one as
+    any other; very long texts are cut, whole; an empty table has an empty answer; other columns are not read.
     """
-    pieces = written(cut_documents(docs, path, capacity, end_id), "pieces")
+    pieces = written(cut_documents(docs, path, capacity, end_id, special_as_text), "pieces")
     return pieces, pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)

@@ -139,7 +139,7 @@ class TokenFile:
             i = j
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_per_file: int = 4_000_000, percentile: float = 90.0) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_per_file: int = 4_000_000, percentile: float = 90.0, special_as_text: bool = False) -> tuple[str, DataFrame]:
     """Encodes whole texts (null: empty), appends end_id, and writes files in ascending order of doc_id.
 
     Returns the folder and the list of its files: name, part (the range of documents that a task wrote),
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_pe
     by ranges of doc_id, so a task holds neighbours, and are encoded there: one pass and one shuffle. A
     task keeps at most about ids_per_file ids (and one document) in memory. A task that runs again
     writes under other names, and only files of the attempt that succeeded are listed. Repeated doc_ids
-    stay next to each other, in any order; a null doc_id comes first.
+    stay next to each other, in the order of a hash of their texts; a null doc_id comes first. An empty table has no files.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = library(path, True), TaskContext.get().partitionId()
+        encoder, part = library(path, True, special_as_text), TaskContext.get().partitionId()
         doc_ids, held, size, number = [], [], 0, 0
         end = np.array([] if end_id is None else [end_id], "<u4")
 
@@ -175,7 +175,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, ids_pe
         if held:
             yield flush()
 
-    listed = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "name string, part long, number long, n_docs long, n_ids long")
+    # A doc_id, or null, that very many rows share is dealt by its texts.
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    listed = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").mapInArrow(run, "name string, part long, number long, n_docs long, n_ids long")
     listed.write.parquet(f"{folder}-list")
     files = spark.read.parquet(f"{folder}-list")
     # Running totals in two steps, so that no task reads the list of all files.

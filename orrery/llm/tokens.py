@@ -4,6 +4,9 @@ Both kinds of vocabulary that are used here (byte-level BPE, and BPE with word e
 they merge, and always split where ASCII white space follows other text. So a text is cut there, the
 library encodes each different slice, and the ids of a text are those of its slices in turn. Texts
 with white space beyond ASCII's, where the rules of run and slice could part, go to the library whole.
+
+By default a text is encoded as the library does it: the name of a special token in a text, as <|endoftext|>, becomes that
+token. With special_as_text it is ordinary text, which keeps documents from ending themselves.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ class LibraryEncoder:
     bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, max_cached: int = 1_500_000):
+    def __init__(self, path: str, keeps_blanks: bool, special_as_text: bool = False, max_cached: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         self.keeps_blanks, self.max_cached, self.cache = keeps_blanks, max_cached, {}
         # Tokens that start a word (with the mark for a blank), or that end one.
         vocabulary = self.library.get_vocab()
@@ -99,6 +102,6 @@ class LibraryEncoder:
         return [np.frombuffer(own, "<u4") for own in out]
 
 
-@lru_cache(2)
-def library(path: str, keeps_blanks: bool) -> LibraryEncoder:
-    return LibraryEncoder(path, keeps_blanks)
+@lru_cache(4)
+def library(path: str, keeps_blanks: bool, special_as_text: bool = False) -> LibraryEncoder:
+    return LibraryEncoder(path, keeps_blanks, special_as_text)

@@ -16,7 +16,7 @@ from orrery.llm import bpe, langid, neardup, packing, secrets, tokenfile
 from orrery.llm.tokens import LibraryEncoder
 
 MULTI, GPT, WORD = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
-BITS = ["'", "s", "t", "re", "ve", "ll", "m", " ", "  ", "\n", "\t", ".", ",", "\xa0", "　", "a", "Z", "é", "1", "½", "!", "😀", "́", "中", "\x1c", "\x85", "​", "\r\n", "word", "İ", "<|endoftext|>", "x" * 300, "ab" * 90]
+BITS = ["'", "s", "t", "re", "ve", "ll", "m", " ", "  ", "\n", "\t", ".", ",", "\xa0", "　", "a", "Z", "é", "1", "½", "!", "😀", "́", "中", "\x1c", "\x85", "​", "\r\n", "word", "İ", "<|endoftext|>", "<|startoftext|>", "x" * 300, "ab" * 90]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string"
 
 
@@ -67,11 +67,14 @@ def test_bpe_documents(spark, docs, empty):
 
 
 @pytest.mark.parametrize("path, blanks", [(GPT, True), (WORD, False)])
-def test_library_encoder(path, blanks):
-    own = LibraryEncoder(path, blanks, max_cached=500)
-    texts = strange(4000, 2)
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_library_encoder(path, blanks, special_as_text):
+    own, plain = LibraryEncoder(path, blanks, special_as_text, max_cached=500), Tokenizer.from_file(path)
+    if special_as_text:
+        plain.encode_special_tokens = True
+    texts = strange(4000, 2) + ["foo <|endoftext|> bar", "a<|endoftext|>b.", "<|startoftext|>  \n x <|ENDOFTEXT|>"]
     for i in range(0, len(texts), 500):
-        ref = own.library.encode_batch(texts[i : i + 500], add_special_tokens=False)
+        ref = plain.encode_batch(texts[i : i + 500], add_special_tokens=False)
         assert [x.tolist() for x in own.ids(texts[i : i + 500])] == [x.ids for x in ref]
 
 
@@ -89,7 +92,7 @@ def test_token_files(spark, docs, empty):
     folder, files = tokenfile.write_token_files(docs, GPT, ids_per_file=500)
     out = sorted(tokenfile.read_checksums(folder, files).collect(), key=lambda r: r.start)
     ref = Tokenizer.from_file(GPT)
-    want = [(r.doc_id, np.array([*ref.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")) for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))]
+    want = [(r.doc_id, np.array([*ref.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")) for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))]  # equal ids have equal texts here
     at = 0
     for r, (doc_id, ids) in zip(out, want, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
@@ -243,14 +246,14 @@ def test_secrets_ownership(spark):
     assert {r.text for r in secrets.redact(clash).where("doc_id = 10").collect()} == {"mine [SECRET] only"}
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().decode()
         w = re.findall(r"[^\x20\x09-\x0D]+", w)
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     label = {i: i for i in sets}
-    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and sets[a]]
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and sets[a]]
     for _ in sets:
         for a, b in linked:
             label[a] = label[b] = min(label[a], label[b])
