@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.operators.pairs import equal_pairs
+
 
 def adjacent(edges: DataFrame, node: str, direction: str = "both", types: list[str] | None = None) -> DataFrame:
     """The edges at a node, with `other` and `direction`; by direction in, out or both."""
@@ -54,12 +56,11 @@ def funder_concentration(edges: DataFrame, recipients: DataFrame, least: int = 2
 def recipient_pairs(edges: DataFrame, least: int) -> DataFrame:
     """Pairs of recipients (a < b) that share at least `least` funders.
 
-    The self-join is by funder; pairs of one funder's n recipients number n*n/2, which the result demands. A
-    hub's rows are a skewed key, which Spark splits.
+    Pairs of one funder's n recipients number n*n/2, which the result demands; a hub's recipients meet block by block, in
+    many tasks.
     """
     distinct = edges.select("src", "dst").distinct()
-    a, b = distinct.select("dst", F.col("src").alias("a")), distinct.select("dst", F.col("src").alias("b"))
-    return a.join(b, "dst").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return equal_pairs(distinct, ["dst"], "src").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def shared_directors(edges: DataFrame, boards: DataFrame | None, least: int) -> DataFrame:

@@ -49,10 +49,15 @@ def timeline(edges: DataFrame, today: str) -> DataFrame:
 def entity_history(edges: DataFrame, node: str, start: str, end: str, days: int = 30) -> DataFrame:
     """Every so many days from start to end, how many of a node's edges are valid: day, n."""
     spark = edges.sparkSession
-    points = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"INTERVAL {days} DAYS"))).alias("day"))
-    own = edges.where((F.col("src") == node) | (F.col("dst") == node)).select("valid_from", "valid_to")
-    joined = points.join(own, valid_at(F.col("day")), "left")  # a few days against one node's edges
-    return joined.groupBy("day").agg(F.count("valid_from").alias("n"))
+    first = F.lit(start).cast("date")
+    points = spark.range(1).select(F.posexplode(F.sequence(first, F.lit(end).cast("date"), F.expr(f"INTERVAL {days} DAYS"))).alias("k", "day"))
+    own = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    # An edge counts at the points from the first at or after its start to the last before its end.
+    after = lambda day: F.ceil(F.datediff(F.col(day), first) / days).cast("int")
+    last = F.floor(F.datediff(F.lit(end).cast("date"), first) / days).cast("int")
+    spans = own.select(F.greatest(F.lit(0), F.coalesce(after("valid_from"), F.lit(0))).alias("a"), F.least(last, F.coalesce(after("valid_to") - 1, last)).alias("b")).where("a <= b")
+    counts = spans.select(F.explode(F.sequence("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return points.join(counts, "k", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def cochange(edges: DataFrame, least: int = 2) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.operators.pairs import equal_pairs
+
 # Patterns of tags, of content systems (the first that hits counts), registrars and addresses; weights.
 TAGS = {
     "analytics": r"(UA-\d{4,10}-\d{1,4}|G-[A-Z0-9]{10,})",
@@ -79,14 +81,29 @@ def profile_signals(profiles: DataFrame) -> DataFrame:
     return profiles.select("domain", F.explode(every).alias("t")).select("domain", "t.kind", "t.value").distinct()
 
 
+#: Kinds that a domain has one value of at most. A registrar's or issuer's domains are many and say little of each other.
+SINGLE = ("registrar", "ssl_issuer", "cms")
+
+
 def shared(signals: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of domains (a < b) with the kinds and values that they share: score = sum of weights, confidence = score / 10 (at
-    most 1), signals (sorted). Pairs meet by (kind, value) only; values that nobody else has never meet."""
+    """Pairs of domains (a < b) with the kinds and values that they share, of a score of `least` or more: score = sum of weights,
+    confidence = score / 10 (at most 1), signals (sorted).
+
+    Pairs meet by (kind, value), block by block where many domains have it. If the kinds that a domain has but one
+    value of cannot reach `least` together, they bring no pair together, and are only looked up for pairs that others brought.
+    """
+    late = SINGLE if sum(WEIGHTS[k] for k in SINGLE) < least else ()
+    one = signals.select("domain", "kind", "value").where(~F.col("kind").isin(*late)) if late else signals.select("domain", "kind", "value")
+    pairs = equal_pairs(one, ["kind", "value"], "domain")
+    if late:
+        own = signals.where(F.col("kind").isin(*late)).groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("own"))
+        met = pairs.select("a", "b").distinct()
+        of = lambda end: own.select(F.col("domain").alias(end), F.col("own").alias(f"of_{end}"))
+        known = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.explode(F.map_filter("of_a", lambda k, v: F.col("of_b")[k] == v)).alias("kind", "value"))
+        pairs = pairs.select("a", "b", "kind", "value").unionByName(known)
     weight = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[F.col("kind")]
-    a = signals.select("kind", "value", F.col("domain").alias("a"))
-    b = signals.select("kind", "value", F.col("domain").alias("b"))
-    pairs = a.join(b, ["kind", "value"]).where("a < b").groupBy("a", "b").agg(F.sum(weight).alias("score"), F.array_sort(F.collect_list(F.concat_ws("=", "kind", "value"))).alias("signals"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    return pairs.where(F.col("score") >= least).withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 10))
+    scored = pairs.groupBy("a", "b").agg(F.sum(weight).alias("score"), F.array_sort(F.collect_list(F.concat_ws("=", "kind", "value"))).alias("signals"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return scored.where(F.col("score") >= least).withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 10))
 
 
 def infra_edges(pairs: DataFrame, least: float = 0.3) -> DataFrame:

@@ -7,10 +7,13 @@ later ones by anti-joins.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions import names as N
 from orrery.functions.similarity import scorer
+from orrery.operators.pairs import block_pairs, spread_join
 
 
 def by_identifier(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -69,16 +72,23 @@ def fuzzy_confidence(score: Column, same_country: Column, same_city: Column, sam
 
 
 def by_vector(rows: DataFrame, block: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a < b) of one block whose vectors' cosine is at least threshold: a, b, cosine, confidence = 0.95 * cosine."""
+    """Pairs (a < b) of one block whose vectors' cosine is at least threshold: a, b, cosine, confidence = 0.95 * cosine. Vectors of
+    different lengths, null or zero ones, and ones with components that are null or no numbers have none. A block's rows meet in parts, whose cosines are one
+    matrix product."""
+    v = F.col("vector").cast("array<double>")
+    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    own = rows.where(F.col("id").isNotNull() & F.col(block).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col("id").cast("long").alias("id"), F.col(block).alias("block"), F.size("vector").alias("n"), v.alias("vector"))
 
-    def dot(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    def kernel(left: pa.Table, right: pa.Table) -> list:
+        x, y = (t["vector"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+        ids = left["id"].to_numpy(), right["id"].to_numpy()
+        cosine = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+        near = (cosine >= threshold) & (ids[0][:, None] < ids[1] if left is right else ids[0][:, None] != ids[1])
+        i, j = np.nonzero(near)
+        a, b = ids[0][i], ids[1][j]
+        return [np.minimum(a, b), np.maximum(a, b), cosine[i, j], 0.95 * cosine[i, j]]
 
-    normed = rows.withColumn("norm", F.sqrt(dot("vector", "vector")))
-    a = normed.select(F.col("id").alias("a"), block, F.col("vector").alias("va"), F.col("norm").alias("na"))
-    b = normed.select(F.col("id").alias("b"), block, F.col("vector").alias("vb"), F.col("norm").alias("nb"))
-    cosine = F.try_divide(dot("va", "vb"), F.col("na") * F.col("nb"))
-    return a.join(b, block).where("a < b").withColumn("cosine", cosine).where(F.col("cosine") >= threshold).select("a", "b", "cosine", (0.95 * F.col("cosine")).alias("confidence"))
+    return block_pairs(own, "id", kernel, "a long, b long, cosine double, confidence double", ["block", "n"], 1024)
 
 
 def cascade(source: DataFrame, target: DataFrame, cutoff: float = 85.0) -> DataFrame:
@@ -118,11 +128,24 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_candidates(source: DataFrame, target: DataFrame, least: float = 0.3, top: int = 5) -> DataFrame:
-    """source_id, target_id, similarity (Jaccard of trigrams) above `least`, the `top` best: found by shared trigrams."""
-    a = source.select(F.col("id").alias("source_id"), trigrams(F.col("name")).alias("ta"))
-    b = target.select(F.col("id").alias("target_id"), trigrams(F.col("name")).alias("tb"))
-    shared = a.select("source_id", F.size("ta").alias("na"), F.explode("ta").alias("g")).join(b.select("target_id", F.size("tb").alias("nb"), F.explode("tb").alias("g")), "g")
-    scored = shared.groupBy("source_id", "target_id", "na", "nb").agg(F.count("*").alias("n")).withColumn("similarity", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
+    """source_id, target_id, similarity (Jaccard of trigrams) above `least`, the `top` best.
+
+    Names of n trigrams with a similarity of `least` share one of each one's n - ceil(least * n) + 1 rarest. Only these are
+    joined, so the commonest trigrams, which are the large keys, bring nobody together.
+    """
+    a = source.select(F.col("id").alias("source_id"), trigrams(F.col("name")).alias("ta")).where(F.size("ta") > 0)
+    b = target.select(F.col("id").alias("target_id"), trigrams(F.col("name")).alias("tb")).where(F.size("tb") > 0)
+    grams = a.select(F.explode("ta").alias("g")).unionAll(b.select(F.explode("tb").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, of: str, t: str) -> DataFrame:
+        each = spread_join(rows.select(of, F.size(t).alias("size"), F.explode(t).alias("g")), grams, ["g"], of)
+        rank = F.row_number().over(W.partitionBy(of).orderBy("n", "g"))
+        return each.withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select(of, "g")
+
+    met = rarest(a, "source_id", "ta").join(rarest(b, "target_id", "tb"), "g").select("source_id", "target_id").distinct()
+    both = met.join(a, "source_id").join(b, "target_id")
+    common = F.size(F.array_intersect("ta", "tb"))
+    scored = both.select("source_id", "target_id", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity"))
     best = W.partitionBy("source_id").orderBy(F.desc("similarity"), "target_id")
     return scored.where(F.col("similarity") > least).withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("source_id", "target_id", "similarity")
 

@@ -48,7 +48,7 @@ def relationship_timeline(spark, sf_dir):
 
 
 @query("entity_history", f"""WITH {FUNDED}, d AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1998-01-01', INTERVAL 30 DAY)) AS DATE) AS day), o AS (SELECT * FROM funded WHERE src = 'S1' OR dst = 'S1')
-SELECT day, count(valid_from) AS n FROM d LEFT JOIN o ON (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to > day) GROUP BY day""")
+SELECT day, count(src) AS n FROM d LEFT JOIN o ON (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to > day) GROUP BY day""")
 def entity_history(spark, sf_dir):
     return H.entity_history(D.funded_by(spark, sf_dir), "S1", "1996-01-01", "1998-01-01")
 

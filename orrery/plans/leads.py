@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
-from orrery.catalog import ORACLES, query
+from orrery.catalog import query
 from orrery.operators import leads as L
 from orrery.plans import domain as D
 from orrery.plans.domain import FUNDED
 
 QUEUE = """q AS (SELECT event_id AS lead_id, user_id % 5 AS session_id, 'u' || user_id AS target, event_type AS target_type, CAST(1 + event_id % 5 AS INTEGER) AS priority, (event_id % 100) / 100.0::DOUBLE AS confidence,
-  CAST(event_id % 4 AS INTEGER) AS depth, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS status, ts AS created_at FROM events WHERE event_id % 7 = 0)"""
+  CAST(event_id % 4 AS INTEGER) AS depth, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS status, ts AS created_at FROM events)"""
 
 
-#: The queue of all events; and of all but those that lead_enqueue_all takes as new leads.
-WHOLE, REST = QUEUE.replace(" WHERE event_id % 7 = 0", ""), QUEUE.replace("event_id % 7 = 0", "event_id % 7 <> 1")
+#: The queue without the seventh of events that lead_enqueue takes as new leads.
+REST = QUEUE.replace("FROM events)", "FROM events WHERE event_id % 7 <> 1)")
 
 
-def queue(spark, sf_dir, part="event_id % 7 = 0"):
+def queue(spark, sf_dir, part="true"):
     i = F.col("event_id")
     status = F.when(i % 3 == 0, "pending").when(i % 3 == 1, "in_progress").otherwise("completed")
     return D.table(spark, sf_dir, "events").where(part).select(
@@ -29,32 +27,28 @@ def queue(spark, sf_dir, part="event_id % 7 = 0"):
 
 
 @query("lead_dequeue", f"WITH {QUEUE} SELECT lead_id, priority, confidence FROM q WHERE status = 'pending' ORDER BY priority, confidence DESC, created_at, lead_id LIMIT 25")
-def lead_dequeue(spark, sf_dir, part="event_id % 7 = 0"):
-    return L.dequeue(queue(spark, sf_dir, part), 25).select("lead_id", "priority", "confidence")
+def lead_dequeue(spark, sf_dir):
+    return L.dequeue(queue(spark, sf_dir), 25).select("lead_id", "priority", "confidence")
 
 
-@query("lead_enqueue", f"""WITH {QUEUE}, n AS (SELECT event_id AS lead_id, user_id % 5 AS session_id, 'u' || user_id AS target, event_type AS target_type, CAST(1 + event_id % 5 AS INTEGER) AS priority, event_id % 100 / 100.0 AS confidence FROM events WHERE event_id % 7 = 1),
+@query("lead_enqueue", f"""WITH {REST}, n AS (SELECT event_id AS lead_id, user_id % 5 AS session_id, 'u' || user_id AS target, event_type AS target_type, CAST(1 + event_id % 5 AS INTEGER) AS priority, event_id % 100 / 100.0 AS confidence FROM events WHERE event_id % 7 = 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id, target, target_type ORDER BY priority, confidence DESC, lead_id) AS r FROM n)
 SELECT lead_id, session_id, target, target_type, priority FROM o WHERE r = 1 AND (session_id, target, target_type) NOT IN (SELECT (session_id, target, target_type) FROM q WHERE status IN ('pending', 'in_progress'))""")
-def lead_enqueue(spark, sf_dir, part="event_id % 7 = 0"):
+def lead_enqueue(spark, sf_dir):
     i = F.col("event_id")
     new = D.table(spark, sf_dir, "events").where(i % 7 == 1).select(i.alias("lead_id"), (F.col("user_id") % 5).alias("session_id"), F.concat(F.lit("u"), "user_id").alias("target"), F.col("event_type").alias("target_type"), (1 + i % 5).cast("int").alias("priority"), (i % 100 / 100.0).alias("confidence"))
-    return L.enqueue(queue(spark, sf_dir, part), new).select("lead_id", "session_id", "target", "target_type", "priority")
+    return L.enqueue(queue(spark, sf_dir, "event_id % 7 <> 1"), new).select("lead_id", "session_id", "target", "target_type", "priority")
 
 
 @query("lead_skip", f"WITH {QUEUE} SELECT status, skip_reason, count(*) AS n FROM (SELECT CASE WHEN r IS NOT NULL THEN 'skipped' ELSE status END AS status, r AS skip_reason FROM (SELECT *, CASE WHEN status = 'pending' THEN CASE WHEN depth > 2 THEN 'depth' WHEN confidence < 0.3 THEN 'confidence' END END AS r FROM q)) GROUP BY ALL")
-def lead_skip(spark, sf_dir, part="event_id % 7 = 0"):
-    return L.skip(queue(spark, sf_dir, part), 2, 0.3).groupBy("status", "skip_reason").agg(F.count("*").alias("n"))
+def lead_skip(spark, sf_dir):
+    return L.skip(queue(spark, sf_dir), 2, 0.3).groupBy("status", "skip_reason").agg(F.count("*").alias("n"))
 
 
 @query("queue_stats", f"""WITH {QUEUE} SELECT status, NULL::INTEGER AS priority, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM q GROUP BY status UNION ALL
 SELECT status, priority, count(*), round(avg(confidence), 6) FROM q WHERE status = 'pending' GROUP BY ALL""")
-def queue_stats(spark, sf_dir, part="event_id % 7 = 0"):
-    return L.stats(queue(spark, sf_dir, part)).withColumn("mean_confidence", F.round("mean_confidence", 6))
-
-
-for name, same, part, rows in [("lead_dequeue", lead_dequeue, "true", WHOLE), ("lead_enqueue", lead_enqueue, "event_id % 7 <> 1", REST), ("lead_skip", lead_skip, "true", WHOLE), ("queue_stats", queue_stats, "true", WHOLE)]:
-    query(f"{name}_all", ORACLES[name].replace(QUEUE, rows))(partial(same, part=part))
+def queue_stats(spark, sf_dir):
+    return L.stats(queue(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @query("funding_leads", f"WITH {FUNDED} SELECT src AS target, max(fiscal_year) AS year, CASE WHEN max(amount) > 100000 THEN 1 WHEN max(amount) > 10000 THEN 2 ELSE 3 END AS priority FROM funded WHERE dst = 'S1' GROUP BY src HAVING max(amount) >= 1000")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.catalog import ORACLES, query
+from orrery.catalog import query
 from orrery.plans import domain as D
 from orrery.sources import records as R, upserts as U
 
@@ -28,20 +28,15 @@ def latest_run_per_source(spark, sf_dir):
     return U.latest(rows, "source", "ts").select("source", "run_id")
 
 
-@query("source_health", """WITH r AS (SELECT 's' || user_id AS source, CASE WHEN user_id % 10 > 0 THEN ts END AS completed_at, CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE 'partial' END AS status FROM events WHERE user_id < 40 AND event_id % 20 = 0),
+@query("source_health", """WITH r AS (SELECT 's' || user_id AS source, CASE WHEN user_id % 10 > 0 THEN ts END AS completed_at, CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE 'partial' END AS status FROM events),
 l AS (SELECT source, max(completed_at) AS c, max_by(status, completed_at) AS s FROM r GROUP BY source)
 SELECT source, CASE WHEN c IS NULL THEN 'never_run' WHEN datesub('hour', c, TIMESTAMP '2024-02-01') > 168 THEN 'stale' WHEN s = 'completed' THEN 'healthy' ELSE 'unknown' END AS health FROM l""")
-def source_health(spark, sf_dir, part="user_id < 40 AND event_id % 20 = 0"):
-    e = D.table(spark, sf_dir, "events").where(part)
+def source_health(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
     runs = e.select(F.concat(F.lit("s"), "user_id").alias("source"), F.when(F.col("user_id") % 10 > 0, F.col("ts")).alias("completed_at"), F.when(F.col("event_id") % 2 == 0, "completed").otherwise("partial").alias("status"))
     return U.source_health(runs, F.lit("2024-02-01").cast("timestamp_ntz")).select("source", "health")
 
 
-@query("source_health_all", ORACLES["source_health"].replace(" WHERE user_id < 40 AND event_id % 20 = 0", ""))
-def source_health_all(spark, sf_dir):
-    return source_health(spark, sf_dir, "true")
-
-
 @query("ingest_counts", """SELECT event_type AS source, count(*) AS records, sum(CASE WHEN o = 0 THEN 1 ELSE 0 END)::BIGINT AS created, sum(CASE WHEN o = 1 THEN 1 ELSE 0 END)::BIGINT AS errors, CASE WHEN sum(CASE WHEN o = 1 THEN 1 ELSE 0 END) = 0 THEN 'completed' ELSE 'partial' END AS status
 FROM (SELECT event_type, CASE WHEN value > 95 THEN 1 ELSE 0 END AS o FROM events) GROUP BY ALL""")
 def ingest_counts(spark, sf_dir):

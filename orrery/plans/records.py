@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.catalog import ORACLES, query
+from orrery.catalog import query
 from orrery.operators import infrastructure as I, quality as Q, reports as P, resolution as R
 from orrery.plans import domain as D
 from orrery.plans.domain import FUNDED
@@ -64,18 +64,13 @@ def audit_query(spark, sf_dir):
     return rows.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id")
 
 
-@query("entity_evidence", """SELECT DISTINCT 'S' || l_suppkey AS id, o_orderkey AS evidence_id, o_orderdate AS retrieved_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <= 3""")
-def entity_evidence(spark, sf_dir, part="l_suppkey <= 3"):
-    nodes = D.table(spark, sf_dir, "lineitem").where(part).groupBy(F.concat(F.lit("S"), "l_suppkey").alias("id")).agg(F.collect_set("l_orderkey").alias("evidence_refs"))
+@query("entity_evidence", """SELECT DISTINCT 'S' || l_suppkey AS id, o_orderkey AS evidence_id, o_orderdate AS retrieved_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def entity_evidence(spark, sf_dir):
+    nodes = D.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("id")).agg(F.collect_set("l_orderkey").alias("evidence_refs"))
     evidence = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_orderdate").alias("retrieved_at"))
     return P.entity_evidence(nodes, evidence)
 
 
-@query("entity_evidence_all", ORACLES["entity_evidence"].replace(" WHERE l_suppkey <= 3", ""))
-def entity_evidence_all(spark, sf_dir):
-    return entity_evidence(spark, sf_dir, "true")
-
-
 @query("unknowns", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR (c_custkey % 2 = 0 AND c_mktsegment = 'BUILDING')")
 def unknowns(spark, sf_dir):
     rows = D.table(spark, sf_dir, "customer").withColumn("a", F.col("c_acctbal") < 0).withColumn("b", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment") == "BUILDING"))
@@ -117,19 +112,14 @@ def unresolved_grants(spark, sf_dir):
     return R.unresolved_grants(nodes, D.funded_by(spark, sf_dir), "CA")
 
 
-@query("cross_border_candidates", "SELECT g.c_custkey AS recipient_id, s.s_suppkey AS candidate_id FROM customer g JOIN supplier s ON g.c_nationkey = s.s_nationkey AND s.s_suppkey % 2 = 0 WHERE g.c_custkey <= 100 AND (g.c_custkey % 3 = 0 OR g.c_custkey % 4 = s.s_suppkey % 4)")
-def cross_border_candidates(spark, sf_dir, part="c_custkey <= 100"):
+@query("cross_border_candidates", "SELECT g.c_custkey AS recipient_id, s.s_suppkey AS candidate_id FROM customer g JOIN supplier s ON g.c_nationkey = s.s_nationkey AND s.s_suppkey % 2 = 0 WHERE (g.c_custkey % 3 = 0 OR g.c_custkey % 4 = s.s_suppkey % 4)")
+def cross_border_candidates(spark, sf_dir):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
-    grants = D.table(spark, sf_dir, "customer").where(part).select(k.alias("recipient_id"), F.col("c_nationkey").alias("country"), F.when(k % 3 != 0, k % 4).alias("state"))
+    grants = D.table(spark, sf_dir, "customer").select(k.alias("recipient_id"), F.col("c_nationkey").alias("country"), F.when(k % 3 != 0, k % 4).alias("state"))
     charities = D.table(spark, sf_dir, "supplier").select(s.alias("id"), F.when(s % 2 == 0, s).alias("bn"), F.col("s_nationkey").alias("country"), (s % 4).alias("state"))
     return R.cross_border_candidates(grants, charities)
 
 
-@query("cross_border_candidates_all", ORACLES["cross_border_candidates"].replace("g.c_custkey <= 100 AND ", ""))
-def cross_border_candidates_all(spark, sf_dir):
-    return cross_border_candidates(spark, sf_dir, "true")
-
-
 @query("cross_reference_stages")
 def cross_reference_stages(spark, sf_dir):
     c = D.table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("bn"))

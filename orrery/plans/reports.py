@@ -87,14 +87,8 @@ def neutral_sql(column: str) -> str:
     return column
 
 
-@query("neutral_language", f"SELECT conv_id, turn, {neutral_sql(chr(39) + LOADED + chr(39) + ' || substr(text, 1, 80)')} AS neutral FROM conversations")
+@query("neutral_language", f"SELECT conv_id, turn, {neutral_sql(chr(39) + LOADED + chr(39) + ' || text')} AS neutral FROM conversations")
 def neutral_language(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", T.neutral(F.concat(F.lit(LOADED), F.substring("text", 1, 80))).alias("neutral"))
-
-
-@query("neutral_language_all", f"SELECT conv_id, turn, {neutral_sql(chr(39) + LOADED + chr(39) + ' || text')} AS neutral FROM conversations")
-def neutral_language_all(spark, sf_dir):
     rows = D.table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", T.neutral(F.concat(F.lit(LOADED), "text")).alias("neutral"))
 

@@ -9,10 +9,6 @@ from orrery.operators import timing as T
 from orrery.plans import domain as D
 from orrery.plans.domain import EVENTS
 
-#: The entities of the comparisons with SQL; the queries *_all and those without SQL take every entity.
-FEW = "entity_id <= 6"
-
-
 def events(spark, sf_dir):
     return D.timing_events(spark, sf_dir)
 
@@ -36,21 +32,16 @@ def burst_kleinberg(spark, sf_dir):
     return T.bursts(events(spark, sf_dir), rate_mode="kleinberg")
 
 
-SERIES = EVENTS + f""", f AS (SELECT * FROM ev WHERE {FEW}), c AS (SELECT entity_id, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM f GROUP BY ALL),
-s AS (SELECT e.entity_id, h.hour, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT entity_id FROM c) e CROSS JOIN (SELECT unnest(range((SELECT min(hour) FROM c), (SELECT max(hour) FROM c) + 1)) AS hour) h
-  LEFT JOIN c ON c.entity_id = e.entity_id AND c.hour = h.hour)"""
+LAGS = EVENTS + """, c AS (SELECT entity_id, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM ev GROUP BY ALL), sp AS (SELECT min(hour) AS lo, max(hour) AS hi FROM c), l AS (SELECT unnest(range(-24, 25)) AS lag),
+x AS (SELECT entity_id AS a, lag, hi - lo + 1 - abs(lag) AS w, coalesce(sum(n) FILTER (hour + lag BETWEEN lo AND hi), 0) AS x, coalesce(sum(n * n) FILTER (hour + lag BETWEEN lo AND hi), 0) AS xx FROM c, sp, l GROUP BY ALL),
+y AS (SELECT entity_id AS b, lag, coalesce(sum(n) FILTER (hour - lag BETWEEN lo AND hi), 0) AS y, coalesce(sum(n * n) FILTER (hour - lag BETWEEN lo AND hi), 0) AS yy FROM c, sp, l GROUP BY ALL),
+xy AS (SELECT p.entity_id AS a, q.entity_id AS b, lag, sum(p.n * q.n) AS xy FROM c p, l JOIN c q ON q.hour = p.hour + lag AND p.entity_id < q.entity_id GROUP BY ALL),
+s AS (SELECT a, b, lag, w * xx - x * x AS vx, w * yy - y * y AS vy, w * coalesce(xy, 0) - x * y AS cov FROM x JOIN y USING (lag) LEFT JOIN xy USING (a, b, lag) WHERE a < b AND w > 0)"""
 
 
-@query("hourly_lag_corr", f"""WITH {SERIES}, l AS (SELECT unnest(range(-24, 25)) AS lag)
-SELECT a.entity_id AS a, b.entity_id AS b, CAST(lag AS INTEGER) AS lag, round(CASE WHEN stddev_pop(a.n) > 0 AND stddev_pop(b.n) > 0 THEN corr(a.n, b.n) ELSE 0 END, 6) + 0.0 AS corr
-FROM l JOIN s a ON true JOIN s b ON b.hour = a.hour + lag AND a.entity_id < b.entity_id GROUP BY ALL""")
+@query("hourly_lag_corr", f"WITH {LAGS} SELECT a, b, CAST(lag AS INTEGER) AS lag, round(CASE WHEN vx > 0 AND vy > 0 THEN cov / sqrt(CAST(vx AS DOUBLE) * vy) ELSE 0 END, 6) + 0.0 AS corr FROM s")
 def hourly_lag_corr(spark, sf_dir):
-    return T.lag_correlations(events(spark, sf_dir).where(FEW)).withColumn("corr", F.round("corr", 6) + 0.0)
-
-
-@query("hourly_lag_corr_all")
-def hourly_lag_corr_all(spark, sf_dir):
-    return T.lag_correlations(events(spark, sf_dir))
+    return T.lag_correlations(events(spark, sf_dir)).withColumn("corr", F.round("corr", 6) + 0.0)
 
 
 @query("lead_lag_significance")
@@ -64,13 +55,8 @@ p AS (SELECT g.entity_id, g.h, (coalesce(n, 0) / CAST(total AS DOUBLE) + CAST(1e
 js AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(0.5 * a.p * ln(a.p / ((a.p + b.p) / 2)) + 0.5 * b.p * ln(b.p / ((a.p + b.p) / 2))) AS js FROM p a JOIN p b ON a.h = b.h AND a.entity_id < b.entity_id GROUP BY ALL)"""
 
 
-@query("sync_js_pairs", f"WITH {JS} SELECT a, b, round(js, 6) AS js FROM js WHERE a <= 20 AND b <= 20")
+@query("sync_js_pairs", f"WITH {JS} SELECT a, b, round(js, 6) AS js FROM js")
 def sync_js_pairs(spark, sf_dir):
-    return T.js_divergences(events(spark, sf_dir).where("entity_id <= 20")).withColumn("js", F.round("js", 6))
-
-
-@query("sync_js_pairs_all", f"WITH {JS} SELECT a, b, round(js, 6) AS js FROM js")
-def sync_js_pairs_all(spark, sf_dir):
     return T.js_divergences(events(spark, sf_dir)).withColumn("js", F.round("js", 6))
 
 
@@ -81,15 +67,9 @@ def sync_js(spark, sf_dir):
     return rows.select("n_entities", *[F.round(c, 6).alias(c) for c in ("mean_js", "sync", "confidence")])
 
 
-@query("overlap_ratio", f"""WITH {EVENTS}, b AS (SELECT epoch_us(ts) // 21600000000 AS bin, count(DISTINCT entity_id) AS n FROM ev WHERE {FEW} GROUP BY ALL)
+@query("overlap_ratio", f"""WITH {EVENTS}, b AS (SELECT epoch_us(ts) // 21600000000 AS bin, count(DISTINCT entity_id) AS n FROM ev GROUP BY ALL)
 SELECT round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, count(*) AS n_bins FROM b""")
 def overlap_ratio(spark, sf_dir):
-    return T.overlap_ratio(events(spark, sf_dir).where(FEW), 6).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
-
-
-@query("overlap_ratio_all", f"""WITH {EVENTS}, b AS (SELECT epoch_us(ts) // 21600000000 AS bin, count(DISTINCT entity_id) AS n FROM ev GROUP BY ALL)
-SELECT round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, count(*) AS n_bins FROM b""")
-def overlap_ratio_all(spark, sf_dir):
     return T.overlap_ratio(events(spark, sf_dir), 6).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 

@@ -30,10 +30,10 @@ def pearson(x, y, lag):
 
 
 def test_lag_correlations_of_all_entities(spark, sf, series):
-    rows = {(r.a, r.b, r.lag): r["corr"] for r in run("hourly_lag_corr_all", spark, sf).collect()}
+    rows = {(r.a, r.b, r.lag): r["corr"] for r in run("hourly_lag_corr", spark, sf).collect()}
     assert max(series) > 6 and len(rows) == len(series) * (len(series) - 1) // 2 * 49
     for (a, b, lag), c in list(rows.items())[:: max(1, len(rows) // 500)]:
-        assert c == pytest.approx(pearson(series[a], series[b], lag), abs=1e-9)
+        assert c == pytest.approx(pearson(series[a], series[b], lag), abs=1e-6)  # rounded
 
 
 def test_lead_lag_of_all_entities(spark, sf, series):
@@ -50,22 +50,22 @@ def test_coordination_of_all_entities(spark, sf, series):
 
 def test_leads_of_all_events(spark, sf):
     events = D.table(spark, sf, "events").count()
-    assert run("lead_skip_all", spark, sf).agg(F.sum("n")).first()[0] == events
-    assert run("queue_stats_all", spark, sf).where("priority IS NULL").agg(F.sum("n")).first()[0] == events
-    assert run("lead_dequeue_all", spark, sf).where("lead_id % 7 <> 0").count() > 0
-    assert run("lead_enqueue_all", spark, sf).where("lead_id % 7 <> 1").count() == 0
+    assert run("lead_skip", spark, sf).agg(F.sum("n")).first()[0] == events
+    assert run("queue_stats", spark, sf).where("priority IS NULL").agg(F.sum("n")).first()[0] == events
+    assert run("lead_dequeue", spark, sf).where("lead_id % 7 <> 0").count() > 0
+    assert run("lead_enqueue", spark, sf).where("lead_id % 7 <> 1").count() == 0
 
 
 def test_records_of_all_rows(spark, sf):
-    assert run("source_health_all", spark, sf).count() == D.table(spark, sf, "events").select("user_id").distinct().count()
-    assert run("entity_evidence_all", spark, sf).select("id").distinct().count() == D.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
-    assert run("cross_border_candidates_all", spark, sf).agg(F.max("recipient_id")).first()[0] > 100
+    assert run("source_health", spark, sf).count() == D.table(spark, sf, "events").select("user_id").distinct().count()
+    assert run("entity_evidence", spark, sf).select("id").distinct().count() == D.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
+    assert run("cross_border_candidates", spark, sf).agg(F.max("recipient_id")).first()[0] > 100
 
 
 def test_neutral_language_of_whole_texts(spark, sf, tmp_path):
     text = "x" * 100 + " a secret scheme " + "y" * 2000
     spark.createDataFrame([(1, 0, text)], "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
-    out = run("neutral_language_all", spark, str(tmp_path)).first().neutral
+    out = run("neutral_language", spark, str(tmp_path)).first().neutral
     assert out.endswith("x" * 100 + " a undisclosed arrangement " + "y" * 2000)
-    rows = D.table(spark, sf, "conversations").where("length(text) > 80").join(run("neutral_language_all", spark, sf), ["conv_id", "turn"])
+    rows = D.table(spark, sf, "conversations").where("length(text) > 80").join(run("neutral_language", spark, sf), ["conv_id", "turn"])
     assert rows.where("right(text, 10) <> right(neutral, 10)").count() == 0

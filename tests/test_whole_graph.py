@@ -34,17 +34,17 @@ def near(start):
 def test_walks(spark, tables):
     run = lambda name: catalog.queries()[name](spark, tables).collect()
     away, links = near("S1")
-    assert [r.hops for r in run("shortest_path_all")] == [away["S2"]] == [2]
+    assert [r.hops for r in run("shortest_path")] == [away["S2"]] == [2]
     paths = [("S1",)]
     found = []
     for _ in range(4):
         paths = [(*p, b) for p in paths if p[-1] != "S3" for a, b in links if a == p[-1] and frozenset((a, b)) not in [frozenset(e) for e in zip(p, p[1:])]]
         found += sorted(">".join(p) for p in paths if p[-1] == "S3")
-    assert [r.path for r in run("all_paths_all")] == found[:10]
+    assert [r.path for r in run("all_paths")] == found[:10]
     dist = {s: {n: d for n, d in near(s)[0].items() if d <= 2} for s in ("S1", "S2", "S3")}
     want = {n: len(h) for n in away if n not in dist and len(h := [s for s in dist if n in dist[s]]) >= 2}
-    assert {r.node: r.n_starts for r in run("connecting_entities_all")} == want
-    assert {(r.src, r.dst) for r in run("entity_network_all")} == {(a, b) for a, b in links if a[0] == "C" and max(away[a], away[b]) <= 2 and min(away[a], away[b]) < 2}
+    assert {r.node: r.n_starts for r in run("connecting_entities")} == want
+    assert {(r.src, r.dst) for r in run("entity_network")} == {(a, b) for a, b in links if a[0] == "C" and max(away[a], away[b]) <= 2 and min(away[a], away[b]) < 2}
     assert {r.id for r in run("lead_expansion")} == {n for n, d in away.items() if d <= 2}
 
 
@@ -55,7 +55,7 @@ def test_components(spark, tables):
     for _ in group:
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
-    rows = catalog.queries()["connected_components_all"](spark, tables).collect()
+    rows = catalog.queries()["connected_components"](spark, tables).collect()
     assert {r.node: r.component for r in rows} == {f"C{x}": f"C{g}" for x, g in group.items()} and group
-    clusters = catalog.queries()["funding_clusters_all"](spark, tables).collect()
+    clusters = catalog.queries()["funding_clusters"](spark, tables).collect()
     assert {(r.cluster, r.n_members) for r in clusters} == {(f"C{g}", list(group.values()).count(g)) for g in group.values()}
