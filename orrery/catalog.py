@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries.
-PLANS = ("graph", "traversal", "history", "timing", "infrastructure", "scoring", "resolution", "quality", "reports", "leads", "loading", "records", "streams")
+PLANS = ("graph", "traversal", "history", "timing", "infrastructure", "scoring", "resolution", "quality", "reports", "leads", "loading", "records", "streams", "lookup", "review")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

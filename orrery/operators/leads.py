@@ -42,6 +42,50 @@ def skip(queue: DataFrame, depth: int, least: float) -> DataFrame:
     return queue.withColumn("skip_reason", F.when(hit, reason)).withColumn("status", F.when(hit, "skipped").otherwise(F.col("status")))
 
 
+def changed(queue: DataFrame, commands: DataFrame) -> DataFrame:
+    """The queue after commands (lead_id, action, priority, result, at), of each lead the latest: complete and fail settle a lead with
+    its result, skip with the result as reason, requeue makes it pending again (with a priority, if it has one), set_priority
+    (1 to 5) changes pending leads only."""
+    last = commands.groupBy("lead_id").agg(F.max_by(F.struct("action", "priority", "result", "at"), "at").alias("c"))
+    rows = queue.join(last, "lead_id", "left")
+    action = F.coalesce("c.action", F.lit(""))
+    ends = action.isin("complete", "fail", "skip")
+    status = F.when(action == "complete", "completed").when(action == "fail", "failed").when(action == "skip", "skipped").when(action == "requeue", "pending").otherwise(F.col("status"))
+    asked = F.col("c.priority").between(1, 5) & ((action == "requeue") | ((action == "set_priority") & (F.col("status") == "pending")))
+    result = F.when(action.isin("complete", "fail"), F.col("c.result")).when(action != "requeue", F.col("result"))
+    reason = F.when(action == "skip", F.col("c.result")).when(action != "requeue", F.col("skip_reason"))
+    at = F.when(ends, F.col("c.at")).when(action != "requeue", F.col("processed_at"))
+    out = {"status": status, "priority": F.when(asked, F.col("c.priority")).otherwise(F.col("priority")), "result": result, "skip_reason": reason, "processed_at": at}
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in queue.columns])
+
+
+def target_of(bn: Column, ein: Column, name: Column) -> tuple[Column, Column]:
+    """Identifier and its kind: a BN, else an EIN, else the name."""
+    return F.coalesce(bn, ein, name), F.when(bn.isNotNull(), "bn").when(ein.isNotNull(), "ein").otherwise("name")
+
+
+def cross_border(nodes: DataFrame, edges: DataFrame, home: str = "US", abroad: str = "CA", least: float = 0.5) -> DataFrame:
+    """Leads over the border for every node (id, name, bn, ein, jurisdiction): source_id, target, target_type, priority (always 1),
+    confidence (the edge's, else 0.8), flow.
+
+    A node at home, or of no jurisdiction, leads to those abroad that it has an edge to; one from elsewhere to those at
+    home at either end of its edges. Edges (src, dst, confidence) below `least` are left out.
+    """
+    place = F.upper(F.coalesce("jurisdiction", F.lit("")))
+    of = lambda p, c: nodes.select(F.col("id").alias(c), *[F.struct("name", "bn", "ein", place.alias("place")).alias(p)])
+    sure = edges.where(F.col("confidence").isNull() | (F.col("confidence") >= least)).select("src", "dst", "confidence")
+    met = sure.join(of("a", "src"), "src").join(of("b", "dst"), "dst")
+    at_home = lambda p: (F.col(f"{p}.place") == "") | (F.col(f"{p}.place") == home) | F.col(f"{p}.place").startswith(home + "-")
+
+    def lead(own: str, other: str, keep: Column) -> DataFrame:
+        target, kind = target_of(F.col(f"{other}.bn"), F.col(f"{other}.ein"), F.col(f"{other}.name"))
+        flow = F.concat(F.col(f"{own}.place"), F.lit(">"), F.col(f"{other}.place"))
+        return met.where(keep & F.col(f"{other}.name").isNotNull()).select(F.col("src" if own == "a" else "dst").alias("source_id"), target.alias("target"), kind.alias("target_type"), F.lit(1).alias("priority"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), flow.alias("flow"))
+
+    out = lead("a", "b", at_home("a") & F.col("b.place").startswith(abroad))
+    return out.unionByName(lead("a", "b", ~at_home("a") & F.col("b.place").startswith(home))).unionByName(lead("b", "a", ~at_home("b") & F.col("a.place").startswith(home)))
+
+
 def stats(queue: DataFrame) -> DataFrame:
     """Counts by status, and by priority of the pending ones, with mean confidence: one pass by grouping sets."""
     rows = queue.select("status", F.when(F.col("status") == "pending", F.col("priority")).alias("priority"), "confidence")

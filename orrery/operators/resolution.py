@@ -36,9 +36,9 @@ def by_exact_name(source: DataFrame, target: DataFrame, normal=N.organisation) -
     return a.join(b, "key").where("source_id <> target_id").select("source_id", "target_id", "key")
 
 
-def named(rows: DataFrame, id_name: str) -> DataFrame:
+def named(rows: DataFrame, id_name: str, normal=N.organisation) -> DataFrame:
     """(id, name): rows with their normalised name, if it is not empty."""
-    return rows.select(F.col("id").alias(id_name), N.organisation(F.col("name")).alias(f"{id_name}_name")).where(F.length(f"{id_name}_name") > 0)
+    return rows.select(F.col("id").alias(id_name), normal(F.col("name")).alias(f"{id_name}_name")).where(F.length(f"{id_name}_name") > 0)
 
 
 def can_reach(score: str, cutoff: float) -> Column:
@@ -50,13 +50,13 @@ def can_reach(score: str, cutoff: float) -> Column:
     return (long < 8 * short) if score == "weighted" and cutoff > 60 else F.lit(True)
 
 
-def by_fuzzy_name(source: DataFrame, target: DataFrame, cutoff: float = 85.0, top: int = 10, score: str = "weighted") -> DataFrame:
+def by_fuzzy_name(source: DataFrame, target: DataFrame, cutoff: float = 85.0, top: int = 10, score: str = "weighted", normal=N.organisation) -> DataFrame:
     """source_id, target_id, score of names that score at least cutoff; the best `top` of each source.
 
     The names are compared after normalising, each different name of the source with each of the target that can reach the
     cutoff by its length: work grows with their product.
     """
-    a, b = named(source, "a"), named(target, "b")
+    a, b = named(source, "a", normal), named(target, "b", normal)
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = a.select("a_name").distinct().repartition(parts, "a_name").crossJoin(b.select("b_name").distinct()).where(can_reach(score, cutoff))
     scored = texts.withColumn("score", scorer(score)(F.col("a_name"), F.col("b_name"))).where(F.col("score") >= cutoff)
