@@ -31,7 +31,7 @@ class LibraryEncoder:
     bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, special_as_text: bool = False, max_cached: int = 1_500_000):
+    def __init__(self, path: str, keeps_blanks: bool, special_as_text: bool = False, max_cached: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,11 +91,12 @@ class LibraryEncoder:
         slices = [[] if odd else cut(t) for t, odd in zip(texts, rare, strict=True)]
         known = self.cache.get
         found = [list(map(known, own)) for own in slices]
-        late = [i for i, own in enumerate(found) if None in own]
-        if late:
-            self.learn(list({s for i in late for s, x in zip(slices[i], found[i], strict=True) if x is None}))
-            for i in late:
-                found[i] = list(map(known, slices[i]))
+        gaps = [(own, parts, [j for j, x in enumerate(own) if x is None]) for own, parts in zip(found, slices, strict=True)]
+        if new := list({parts[j] for _, parts, at in gaps for j in at}):
+            self.learn(new)
+            for own, parts, at in gaps:  # only what was not known is looked up again
+                for j in at:
+                    own[j] = known(parts[j])
         out = [b"".join(own) for own in found]
         for i in (i for i, odd in enumerate(rare) if odd):
             out[i] = self.whole([texts[i]])[0]
