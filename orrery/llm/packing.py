@@ -78,10 +78,12 @@ class Completions:
     of an integer, so that the enumeration runs into no dead end.
     """
 
-    def __init__(self, counts: np.ndarray, space: int):
-        self.counts, self.space = counts, space
+    def __init__(self, counts: np.ndarray, space: int, effort: list[int] | None = None):
+        """effort, if given, holds how many more steps may be taken, and is counted down; without any, no filling follows."""
+        self.counts, self.space, self.effort = counts, space, effort or [1 << 62]
         own = np.flatnonzero(counts[: space + 1])
         self.lengths, self.have = own[::-1].tolist(), own.tolist()
+        self.effort[0] -= len(own)
         self.reach, mask = [1] * (len(own) + 1), (1 << (space + 1)) - 1
         for i in range(len(own) - 1, -1, -1):
             x, bits = self.lengths[i], self.reach[i + 1]
@@ -97,7 +99,8 @@ class Completions:
             yield ()
             return
         for j in range(max(i, len(self.have) - bisect_right(self.have, target)), len(self.lengths)):
-            if not self.reach[j] >> target & 1:
+            self.effort[0] -= 1
+            if self.effort[0] < 0 or not self.reach[j] >> target & 1:
                 return
             x = self.lengths[j]
             for k in range(min(int(self.counts[x]), target // x), 0, -1):
@@ -109,12 +112,12 @@ class Completions:
         need = dict(filling)
         pieces = [x for x, n in filling for _ in range(min(n, 3))]
         sums = {0, *pieces, *(a + b for a, b in combinations(pieces, 2)), *(sum(c) for c in combinations(pieces, 3))} if len(pieces) <= 24 else {0, *pieces}
+        self.effort[0] -= len(sums)
         for s in sums:
             single = s in need
-            for y in self.have[bisect_left(self.have, s + single) :]:
-                if y > s + waste:
-                    break
-                if self.counts[y] > need.get(y, 0):
+            for i in range(bisect_left(self.have, s + single), bisect_right(self.have, s + waste)):
+                self.effort[0] -= 1
+                if self.counts[self.have[i]] > need.get(self.have[i], 0):
                     return True
             if single and any(a + b == s for a, b in combinations(pieces, 2)) and self.counts[s] > need[s]:
                 return True
@@ -129,7 +132,7 @@ class Completions:
                         yield filling, waste
 
 
-def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_000, report: dict | None = None) -> Plan:
+def bin_completion(counts: dict[int, int], capacity: int, effort: int = 4_000_000, report: dict | None = None) -> Plan:
     """The packing of the histogram in as few sequences as the search finds.
 
     Sequences are completed one after another around the longest piece left, by every undominated filling in turn, least waste
@@ -138,7 +141,7 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_00
     lower bound of what is left, allows no packing better than the incumbent.
 
     The search ends when the incumbent meets the lower bound or every branch was seen: the packing is then optimal. Since
-    the problem is hard, it also ends after so much effort (lengths looked at, over all nodes); it may then not be. report, if
+    the problem is hard, it also ends after so much effort (lengths and sums looked at, some seconds); it may then not be. report, if
     given, gets sequences, bound and proven.
     """
     counts = {x: n for x, n in counts.items() if n}
@@ -148,14 +151,14 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_00
     start[list(counts)] = list(counts.values())
     total, least = sum(x * n for x, n in counts.items()), lower_bound(start, capacity)
     best = best_fit(counts, capacity)
-    used, nodes, proven = sum(n for _, n in best), 0, False
+    used, nodes, left_to_do = sum(n for _, n in best), 0, [effort]
     every = max(1, len(counts) // 32)  # best fit is tried at one node of so many
 
     def branches(left: np.ndarray, waste: int) -> Iterator[tuple[dict[int, int], int, int]]:
         longest = int(np.flatnonzero(left)[-1])
         after = left.copy()
         after[longest] -= 1
-        for filling, lost in Completions(after, capacity - longest)((used - 1) * capacity - total - waste):
+        for filling, lost in Completions(after, capacity - longest, left_to_do)((used - 1) * capacity - total - waste):
             need = dict(filling)
             need[longest] = need.get(longest, 0) + 1
             many = min(int(left[x]) // n for x, n in need.items())
@@ -165,7 +168,7 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_00
 
     # A node: what is left, sequences, waste, the plan as a linked list (part, before), its branches.
     stack = [(start, 0, 0, None, branches(start, 0))] if counts else []
-    while stack and used > least and effort > 0:
+    while stack and used > least and left_to_do[0] > 0:
         left, bins, waste, plan, more = stack[-1]
         if (step := next(more, None)) is None:
             stack.pop()
@@ -175,12 +178,11 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_00
         for x, n in need.items():
             own[x] -= n * many
         nodes += 1
-        effort -= 1
+        left_to_do[0] -= 32  # the bound
         if gone > (used - 1) * capacity - total or now + lower_bound(own, capacity) >= used:
             continue
         trail = ((tuple(sorted(need.items(), reverse=True)), many), plan)
         rest = np.flatnonzero(own)
-        effort -= len(rest)
         if nodes % every == 0 or not rest.size:
             found = best_fit({int(x): int(own[x]) for x in rest}, capacity)
             if (n := now + sum(m for _, m in found)) < used:
@@ -191,7 +193,7 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 2_000_00
                 best, used = found, n
         if rest.size:
             stack.append((own, now, gone, trail, branches(own, gone)))
-    proven = used <= least or not stack
+    proven = used <= least or not stack and left_to_do[0] > 0
     if report is not None:
         report.update(sequences=used, bound=least, proven=proven)
     return best
@@ -245,7 +247,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, effort: int = 2_000_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, effort: int = 4_000_000) -> DataFrame:
     """pieces, a table that is read more than once (written(...)), with sequence_id and offset.
 
     Needs a column length from 1 to capacity. Full pieces are sequences of their own. Pieces of one
