@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from itertools import combinations, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from orrery.llm.tokens import library
 #: A filling: (length, how often) from the longest length on. A plan: (filling, number of sequences so filled).
 Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[Filling, int]]
+#: Nodes of the search that hold their branches (some hundred kilobytes each).
+HELD = 32
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -147,7 +149,7 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 4_000_00
     counts = {x: n for x, n in counts.items() if n}
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
-    start = np.zeros(capacity + 1, np.int64)
+    start = np.zeros(capacity + 1, np.int64)  # copied at each node
     start[list(counts)] = list(counts.values())
     total, least = sum(x * n for x, n in counts.items()), lower_bound(start, capacity)
     best = best_fit(counts, capacity)
@@ -166,13 +168,17 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 4_000_00
                 yield need, many, lost
                 many //= 2
 
-    # A node: what is left, sequences, waste, the plan as a linked list (part, before), its branches.
-    stack = [(start, 0, 0, None, branches(start, 0))] if counts else []
+    # A node: what is left, sequences, waste, the plan as a linked list (part, before), branches taken, and the others. Only the last
+    # HELD nodes hold their branches; an earlier one goes through them again when the search comes back to it.
+    stack = [[start, 0, 0, None, 0, None]] if counts else []
     while stack and used > least and left_to_do[0] > 0:
-        left, bins, waste, plan, more = stack[-1]
+        left, bins, waste, plan, taken, more = stack[-1]
+        if more is None:
+            more = stack[-1][5] = islice(branches(left, waste), taken, None)
         if (step := next(more, None)) is None:
             stack.pop()
             continue
+        stack[-1][4] += 1
         need, many, lost = step
         own, now, gone = left.copy(), bins + many, waste + lost * many
         for x, n in need.items():
@@ -192,7 +198,9 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 4_000_00
                     found.append(part)
                 best, used = found, n
         if rest.size:
-            stack.append((own, now, gone, trail, branches(own, gone)))
+            stack.append([own, now, gone, trail, 0, None])
+            if len(stack) > HELD:
+                stack[-HELD - 1][5] = None
     proven = used <= least or not stack and left_to_do[0] > 0
     if report is not None:
         report.update(sequences=used, bound=least, proven=proven)
