@@ -16,9 +16,9 @@ def cell(row: Column, place: int) -> Column:
     return F.nullif(F.trim(F.get(row, place)), F.lit(""))
 
 
-def record(province: str, **columns: Column) -> list[Column]:
+def record(default: str, **columns: Column) -> list[Column]:
     names = ["name", "other_name", "registration_number", "business_number", "type_raw", "status_raw", "registered", "street", "city", "province", "postal_code"]
-    columns = {"province": F.lit(province), **columns}
+    columns = {"province": F.lit(default), **columns}
     return [columns.get(n, F.lit(None).cast("date" if n == "registered" else "string")).alias(n) for n in names]
 
 
@@ -41,7 +41,7 @@ def quebec(rows: DataFrame) -> DataFrame:
     return out.select(
         *record(
             "QC", name=cell(r, 1), other_name=cell(r, 2), registration_number=cell(r, 0), type_raw=F.coalesce(form, cell(r, 3), F.lit("unknown")), status_raw=F.coalesce(cell(r, 6), F.lit("unknown")), registered=date_of(cell(r, 7)),
-            street=where(cell(r, 8)), city=where(cell(r, 9)), province=F.when(placed, F.coalesce(cell(r, 10), F.lit("QC"))).otherwise("QC"), postal_code=where(cell(r, 11)),
+            street=where(cell(r, 8)), city=where(cell(r, 9)), province=F.when(placed, F.coalesce(cell(r, 10), F.lit("QC"))).otherwise(F.lit("QC")), postal_code=where(cell(r, 11)),
         )
     )
 
