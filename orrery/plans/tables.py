@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
