@@ -130,3 +130,16 @@ def strongest_kind(kinds: Column) -> Column:
     """The first kind of a weight of three or more, else null."""
     strong = F.array(*[F.lit(k) for k, w in WEIGHTS.items() if w >= 3])
     return F.get(F.filter(kinds, lambda k: F.array_contains(strong, k)), 0)
+
+
+# What pages are built with.
+TECHNOLOGIES = {
+    "React": r"react\.production|__REACT_DEVTOOLS", "Vue.js": r"vue\.js|__VUE__", "Angular": r"ng-app|angular\.js", "jQuery": r"jquery\.js|jquery\.min\.js", "Next.js": r"_next/static|__NEXT_DATA__",
+    "Cloudflare": r"cloudflareinsights|cf-ray",
+}
+
+
+def technologies(html: Column) -> Column:
+    """All that a page is built with, in the order above; none for a null."""
+    found = [F.when(F.coalesce(html.rlike("(?i)" + pattern), F.lit(False)), F.lit(name)) for name, pattern in TECHNOLOGIES.items()]
+    return F.array_compact(F.array(*found))

@@ -73,3 +73,15 @@ def infra_hosts(spark, sf_dir):
 @query("certificate_fingerprints", "SELECT c_custkey, substr(sha256('CN=' || c_mktsegment || ':' || array_to_string(list_sort([c_name, c_mktsegment]), ',')), 1, 16) AS fingerprint FROM customer")
 def certificate_fingerprints(spark, sf_dir):
     return D.table(spark, sf_dir, "customer").select("c_custkey", I.certificate(F.concat(F.lit("CN="), "c_mktsegment"), F.array("c_name", "c_mktsegment")).alias("fingerprint"))
+
+
+BUILT = "CASE page_id % 4 WHEN 0 THEN '<script src=/jquery.min.js>' WHEN 1 THEN '<div NG-APP>__vue__' WHEN 2 THEN '/_next/static/react.production.js' ELSE '' END"
+
+
+@query("page_technologies", f"""WITH p AS (SELECT page_id, html || {BUILT} AS h FROM pages)
+SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(h, '(?i)react\\.production|__REACT_DEVTOOLS') THEN 'React' END, CASE WHEN regexp_matches(h, '(?i)vue\\.js|__VUE__') THEN 'Vue.js' END, CASE WHEN regexp_matches(h, '(?i)ng-app|angular\\.js') THEN 'Angular' END,
+  CASE WHEN regexp_matches(h, '(?i)jquery\\.js|jquery\\.min\\.js') THEN 'jQuery' END, CASE WHEN regexp_matches(h, '(?i)_next/static|__NEXT_DATA__') THEN 'Next.js' END, CASE WHEN regexp_matches(h, '(?i)cloudflareinsights|cf-ray') THEN 'Cloudflare' END) AS built_with FROM p""")
+def page_technologies(spark, sf_dir):
+    turn = F.col("page_id") % 4
+    more = F.when(turn == 0, "<script src=/jquery.min.js>").when(turn == 1, "<div NG-APP>__vue__").when(turn == 2, "/_next/static/react.production.js").otherwise("")
+    return D.table(spark, sf_dir, "pages").select("page_id", F.array_join(I.technologies(F.concat("html", more)), ",").alias("built_with"))

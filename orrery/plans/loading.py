@@ -75,3 +75,30 @@ def filing_edges(spark, sf_dir):
 
     rows = spark.createDataFrame([(e, n, y, "NY", o, g) for e, n, y, o, g in FILINGS], FILING)
     return R.filing_edges(rows).select("rel_type", "src", "amount", "confidence")
+
+
+@query("charity_star", """WITH l AS (SELECT o_custkey AS bn, max(o_orderdate) AS fiscal_end FROM orders GROUP BY ALL),
+g AS (SELECT o_custkey AS bn, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT c_custkey AS bn, 'CA-' || c_mktsegment AS jurisdiction, fiscal_end, coalesce(n, 0) AS n_donees FROM customer LEFT JOIN l ON l.bn = c_custkey LEFT JOIN g ON g.bn = c_custkey""")
+def charity_star(spark, sf_dir):
+    charities = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bn"), F.col("c_mktsegment").alias("province"))
+    orders = D.table(spark, sf_dir, "orders")
+    financials = orders.select(F.col("o_custkey").alias("bn"), F.col("o_orderdate").alias("fiscal_end"), F.col("o_totalprice").alias("revenue"))
+    donees = D.table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("bn"), F.col("l_suppkey").alias("donee"), F.col("l_extendedprice").alias("amount"))
+    return R.charity_star(charities, financials, donees).select("bn", "jurisdiction", "fiscal_end", F.size("donees").cast("long").alias("n_donees"))
+
+
+@query("submission_filings", """SELECT o_custkey AS cik, o_orderkey AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'SC 13D' WHEN 1 THEN 'SCHEDULE 13G/A' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, o_orderkey % 3 < 2 AS is_ownership FROM orders""")
+def submission_filings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    form = F.when(k % 3 == 0, "SC 13D").when(k % 3 == 1, "SCHEDULE 13G/A").otherwise("10-K")
+    own = D.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(F.collect_list(F.struct(k.alias("a"), form.alias("f"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))).alias("r"))
+    recent = F.struct(F.col("r.a").alias("accessionNumber"), F.col("r.f").alias("form"), F.col("r.d").alias("filingDate"))
+    return R.submission_filings(own.select("cik", F.struct(recent.alias("recent")).alias("filings")))
+
+
+@query("upsert_undirected", """WITH o AS (SELECT o_custkey AS src, o_orderkey % 50 AS dst, o_orderkey AS version, o_totalprice AS amount FROM orders)
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(version) AS version, max_by(amount, version) AS amount FROM o GROUP BY least(src, dst), greatest(src, dst)""")
+def upsert_undirected(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 50).alias("dst"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("amount"))
+    return U.upsert_undirected(o.where("version % 3 = 0"), o.where("version % 3 <> 0"), "version")
