@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.catalog import query
 from orrery.plans import domain as D
-from orrery.sources import records as R, upserts as U
+from orrery.sources import files as S, records as R, upserts as U
 
 
 @query("incremental_by_mark", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01'")
@@ -102,3 +102,43 @@ SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(version) AS versio
 def upsert_undirected(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 50).alias("dst"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("amount"))
     return U.upsert_undirected(o.where("version % 3 = 0"), o.where("version % 3 <> 0"), "version")
+
+
+@query("archive_keys", "SELECT o_orderkey, o_orderstatus || '/' || strftime(o_orderdate, '%Y-%m') || '/' || o_orderkey || '.xml' AS key FROM orders")
+def archive_keys(spark, sf_dir):
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", S.archive_key(F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_orderkey").cast("string"), "xml").alias("key"))
+
+
+@query("node_keys", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ein:' || (100000000 + c_custkey) WHEN 1 THEN 'bn:B' || c_custkey WHEN 2 THEN 'id:' || c_custkey ELSE 'name:' || regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') END AS key FROM customer""")
+def node_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = D.table(spark, sf_dir, "customer").select(k, F.when(k % 4 == 0, F.concat_ws("-", F.lit("10"), F.lpad(k.cast("string"), 7, "0"))).alias("ein"), F.when(k % 4 == 1, F.concat(F.lit("b "), k)).alias("bn"), F.when(k % 4 == 2, k.cast("string")).alias("id"), F.col("c_name").alias("name"))
+    return rows.select("c_custkey", U.node_key().alias("key"))
+
+
+@query("ad_edges", """SELECT 'PAGE:' || o_custkey AS src, CASE o_orderkey % 4 WHEN 0 THEN 15.0 WHEN 1 THEN 10.0 WHEN 2 THEN 20.0 END::DOUBLE AS amount, CAST(o_orderdate AS DATE) AS valid_from, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL""")
+def ad_edges(spark, sf_dir):
+    k = F.col("o_orderkey")
+    spend = F.struct(F.when((k % 4).isin(0, 1), "10").alias("lower_bound"), F.when((k % 4).isin(0, 2), "20").alias("upper_bound"))
+    ads = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("page_id"), F.when(F.col("o_orderstatus") != "F", "Some Sponsor Inc").alias("funding_entity"), spend.alias("spend"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("ad_delivery_start_time"))
+    return R.ad_edges(ads).groupBy("src", "amount", "valid_from").agg(F.count("*").alias("n"))
+
+
+@query("current_children", "SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+def current_children(spark, sf_dir):
+    """Of each order's lines the one marked current: the dearest of those numbered 1."""
+    marked = F.struct((-F.col("l_extendedprice")).alias("o"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") == 1, "true").alias("_current"))
+    rows = D.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(marked)).alias("children"))
+    return rows.select("l_orderkey", R.current_child(F.col("children"))["price"].alias("price")).where("price IS NOT NULL")
+
+
+@query("separators", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS separator FROM customer")
+def separators(spark, sf_dir):
+    sep = F.get(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), (F.col("c_custkey") % 4).cast("int"))
+    return D.table(spark, sf_dir, "customer").select("c_custkey", S.sniffed_separator(F.concat(F.lit("id"), sep, F.lit("name"), sep, F.col("c_mktsegment"))).alias("separator"))
+
+
+@query("organisation_types", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'nonprofit' WHEN 1 THEN 'political_org' WHEN 2 THEN 'corporation' WHEN 3 THEN 'unknown' WHEN 4 THEN 'corporation' ELSE 'unknown' END AS kind FROM part""")
+def organisation_types(spark, sf_dir):
+    given = F.array(*[F.array(*map(F.lit, x)) for x in (["Newspaper", "Philanthropy"], ["LawFirm", "PoliticalParty"], ["School", "Business"], ["University", "LawFirm"], ["Newspaper", "Other"], ["Other", "None"])])
+    return D.table(spark, sf_dir, "part").select("p_partkey", R.organisation_type(F.get(given, (F.col("p_partkey") % 6).cast("int"))).alias("kind"))

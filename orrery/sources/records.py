@@ -152,7 +152,7 @@ def title_flags(title: Column) -> tuple[Column, Column]:
 
 def current_child(children: Column) -> Column:
     """Of repeated elements (structs with _current) the one marked current, else null."""
-    return F.element_at(F.filter(children, lambda x: x["_current"] == "true"), 1)
+    return F.get(F.filter(children, lambda x: x["_current"] == "true"), 0)
 
 
 def source_counts(nodes: DataFrame, keys: list[str]) -> DataFrame:
