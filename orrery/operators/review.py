@@ -52,10 +52,17 @@ def vendor_matches(vendors: DataFrame, organisations: DataFrame, registry: DataF
     return known.unionByName(other)
 
 
-def reviewed(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
+def at_first(at: str, ties: list[str]) -> Column:
+    """An order by time whose ties go to the larger of further columns; null where the time is null, so such rows are never taken."""
+    return F.when(F.col(at).isNotNull(), F.struct(at, *ties))
+
+
+def reviewed(tasks: DataFrame, decisions: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """Tasks (id, status) with the latest decision (task_id, resolution, reviewer, decided_at) on each: same_entity approves, different
-    rejects, merge_left and merge_right merge, skip skips, and anything else rejects."""
-    last = decisions.groupBy(F.col("task_id").alias("id")).agg(F.max_by(F.struct("resolution", "reviewer"), "decided_at").alias("d"), F.max("decided_at").alias("reviewed_at"))
+    rejects, merge_left and merge_right merge, skip skips, and anything else rejects. Of decisions of one time that counts whose
+    columns `ties` are larger, then whose resolution and reviewer are: no result depends on the order of rows."""
+    order = at_first("decided_at", [*ties, "resolution", "reviewer"])
+    last = decisions.groupBy(F.col("task_id").alias("id")).agg(F.max_by(F.struct("resolution", "reviewer"), order).alias("d"), F.max("decided_at").alias("reviewed_at"))
     status = F.when(F.col("d.resolution") == "same_entity", "approved").when(F.col("d.resolution").isin("merge_left", "merge_right"), "merged").when(F.col("d.resolution") == "skip", "skipped").otherwise("rejected")
     joined = tasks.join(last, "id", "left")
     return joined.withColumn("status", F.when(F.col("d").isNotNull(), status).otherwise(F.col("status"))).withColumn("resolution", F.col("d.resolution")).withColumn("reviewed_by", F.col("d.reviewer")).drop("d")

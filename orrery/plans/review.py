@@ -57,11 +57,19 @@ last AS (SELECT task_id, arg_max(resolution, nr) AS resolution FROM res GROUP BY
 t AS (SELECT o_orderkey AS id, o_custkey AS source_id, o_custkey + 1 AS candidate_id, resolution, CASE WHEN resolution IS NULL THEN 'pending' WHEN resolution = 'same_entity' THEN 'approved' WHEN resolution LIKE 'merge%' THEN 'merged' WHEN resolution = 'skip' THEN 'skipped' ELSE 'rejected' END AS status FROM orders LEFT JOIN last ON task_id = o_orderkey)"""
 
 
+def lines(spark, sf_dir):
+    """Line items with what orders equal times: the first row of the file, which the SQL finds first too (read by many threads, it takes
+    one or the other), and q, the quantity rounded as the SQL does."""
+    rows = D.table(spark, sf_dir, "lineitem").select("*", (-F.col("_metadata.row_index")).alias("row"), F.xxhash64("_metadata.file_path").alias("file"))
+    return rows.withColumn("q", F.rint("l_quantity").cast("int"))
+
+
 def tasks(spark, sf_dir):
     rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), (F.col("o_custkey") + 1).alias("candidate_id"), F.lit("pending").alias("status"))
-    kinds = F.array(*map(F.lit, ["same_entity", "different", "merge_left", "merge_right", "skip", "odd"]))
-    decisions = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.get(kinds, (F.col("l_quantity").cast("int") % 6)).alias("resolution"), F.lit("ann").alias("reviewer"), F.col("l_extendedprice").alias("decided_at"))
-    return V.reviewed(rows, decisions)
+    kinds = F.array(*map(F.lit, ["same_entity", "different", "merge_left", "merge_right", "skip"]))
+    resolution = F.coalesce(F.get(kinds, F.col("q") % 6), F.lit("odd"))
+    decisions = lines(spark, sf_dir).select(F.col("l_orderkey").alias("task_id"), resolution.alias("resolution"), F.lit("ann").alias("reviewer"), F.col("l_extendedprice").alias("decided_at"), "row", "file")
+    return V.reviewed(rows, decisions, ("row", "file"))
 
 
 @query("review_decisions", f"WITH {RESOLVED} SELECT status, resolution, count(*) AS n FROM t GROUP BY ALL")
