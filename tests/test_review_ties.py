@@ -49,3 +49,8 @@ def test_no_order_of_rows_matters(spark):
     rows = [(1, "skip", "a", 5), (1, "merge_left", "b", 5), (1, "different", "c", 4), (1, "same_entity", "d", None)]
     make = lambda r: spark.createDataFrame(r, "task_id long, resolution string, reviewer string, decided_at long").coalesce(1)
     assert V.reviewed(tasks, make(rows)).collect() == V.reviewed(tasks, make(rows[::-1])).collect()
+
+
+def test_merges_of_one_time(spark, tables):
+    got, want = as_spark(spark, tables, "review_merges")
+    assert got == want and len(got) > 50
