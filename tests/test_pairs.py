@@ -80,3 +80,13 @@ def test_history_with_open_bounds(spark):
     got = {str(r.day): r.n for r in H.entity_history(edges, "x", "2020-01-01", "2020-04-15", 31).collect()}
     days = ["2020-01-01", "2020-02-01", "2020-03-03", "2020-04-03"]
     assert got == {d: sum("x" in r[:2] and (r[2] is None or r[2] <= d) and (r[3] is None or r[3] > d) for r in rows) for d in days}
+
+
+def test_entities_travel_few_times(spark, monkeypatch):
+    """Blocks are large: 300 entities are one block, so none travels twice."""
+    met, seen = P.met, []
+    monkeypatch.setattr(P, "met", lambda *args: seen.append(out := met(*args)) or out)
+    events = spark.range(1500).selectExpr("id % 300 entity_id", "timestampadd(HOUR, cast(id % 47 as int), timestamp_ntz'2024-01-01') ts")
+    assert T.js_divergences(events).count() == 300 * 299 // 2 and seen.pop().count() == 300
+    T.lag_correlations(events, 1)
+    assert seen.pop().count() == 300
