@@ -83,10 +83,11 @@ def test_history_with_open_bounds(spark):
 
 
 def test_entities_travel_few_times(spark, monkeypatch):
-    """Blocks are large: 300 entities are one block, so none travels twice."""
+    """4,000 entities are eight blocks, so each travels eight times."""
     met, seen = P.met, []
     monkeypatch.setattr(P, "met", lambda *args: seen.append(out := met(*args)) or out)
-    events = spark.range(1500).selectExpr("id % 300 entity_id", "timestampadd(HOUR, cast(id % 47 as int), timestamp_ntz'2024-01-01') ts")
-    assert T.js_divergences(events).count() == 300 * 299 // 2 and seen.pop().count() == 300
+    events = spark.range(20_000).selectExpr("id % 4000 entity_id", "timestampadd(HOUR, cast(id % 47 as int), timestamp_ntz'2024-01-01') ts")
+    T.js_divergences(events)
+    assert seen.pop().count() <= 8 * 4000
     T.lag_correlations(events, 1)
-    assert seen.pop().count() == 300
+    assert seen.pop().count() <= 8 * 4000
