@@ -54,3 +54,18 @@ def test_no_order_of_rows_matters(spark):
 def test_merges_of_one_time(spark, tables):
     got, want = as_spark(spark, tables, "review_merges")
     assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("query", ["review_decisions", "review_merges"])
+def test_first_of_several_files(spark, tables, tmp_path, query):
+    """The first of equal times stands late in the first file, the other early in a later one."""
+    lines = [[(o, float(o % 5), 9.0) for o in range(300)], [(o, float((o + 2) % 5), 9.0) for o in reversed(range(300))], [(o, 4.0, 9.0) for o in range(300)]]
+    con = duckdb.connect()
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, part in zip(("a", "a-b", "b"), lines, strict=True):
+        con.sql("create or replace table l (l_orderkey bigint, l_quantity double, l_extendedprice double)")
+        con.executemany("insert into l values (?, ?, ?)", part)
+        con.sql(f"copy l to '{tmp_path}/lineitem.parquet/{name}.parquet' (format parquet)")
+    spark.read.parquet(f"{tables}/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = as_spark(spark, str(tmp_path), query)
+    assert got == want and len(got) > 3
