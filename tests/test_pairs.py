@@ -91,3 +91,10 @@ def test_entities_travel_few_times(spark, monkeypatch):
     assert seen.pop().count() <= 8 * 4000
     T.lag_correlations(events, 1)
     assert seen.pop().count() <= 8 * 4000
+
+
+def test_entities_travel_seldom(spark):
+    """45,000 entities travel 11 times each, and a block's strips hold its rows once."""
+    assert P.met(spark.range(45_000), [], "id", T.LARGE, 8).count() == 11 * 45_000
+    assert [i for s in T.strips(4096, 4096) for i in range(4096)[s]] == list(range(4096)) and len(range(4096)[next(T.strips(4096, 4096))]) * 4096 <= T.PAIRS
+    assert [i for s in T.strips(3, 1 << 30) for i in range(3)[s]] == [0, 1, 2]
